@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import mixing
+from folium.llm import exact_dedup, mixing
 from folium.session import table
 
 
@@ -15,8 +15,26 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of documents as two batches (by a hash of doc_id): a snapshot, and what came in later."""
+    documents = table(spark, sf_dir, "documents").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    return exact_dedup.dedup(documents, "part", 2).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_exact_dedup": op10_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_dedup": OP10_SQL,
+}
