@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import exact_dedup, mixing, packing
+from folium.llm import exact_dedup, mixing, packing, quality
 from folium.session import table
 
 
@@ -15,6 +15,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents as two batches (by a hash of doc_id): a snapshot, and what came in later."""
     documents = table(spark, sf_dir, "documents").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
@@ -43,6 +48,7 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
+    "op2_quality": op2_quality,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
 }
