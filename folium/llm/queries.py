@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import exact_dedup, mixing, packing, quality
+from folium.llm import exact_dedup, html_extract, mixing, packing, quality
 from folium.session import table
 
 
@@ -20,6 +20,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents as two batches (by a hash of doc_id): a snapshot, and what came in later."""
     documents = table(spark, sf_dir, "documents").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
@@ -49,6 +54,7 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_quality": op2_quality,
+    "op6_html_main_text": op6_html_main_text,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
 }
