@@ -243,15 +243,15 @@ def tag_weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
     Bounds keep one tag from breaking an article; a row of them may.
     """
-    prior_out = FURNITURE | {"header", "ul", "li", "a", "input", "hr", "link", "meta", "html", "body"}
+    prior_out = {"header", "ul", "li", "a", "input", "hr", "link", "meta", "html", "body"}
     weights = {}
     for name in sorted(KNOWN | {"other"}):
         for key in (name, name + "!"):
             inside, outside = counts.get(key, (0, 0))
-            chance = 0.1 if key.endswith("!") or name in prior_out else 0.8
+            chance = 0.1 if key.endswith("!") or name in FURNITURE else 0.5 if name in prior_out else 0.8
             p = (inside + 10 * chance) / (inside + outside + 10)
             floor = -6.0 if key.endswith("!") or name in FURNITURE else -0.5 if name in INLINE else -2.0
-            weights[key] = max(floor, (1.0 if name in INLINE else 4.0) * math.log(p)) - 0.05
+            weights[key] = max(floor, math.log(p)) - 0.05
     weights["article"] = weights["main"] = -0.05
     return weights
 
