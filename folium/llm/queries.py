@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import exact_dedup, html_extract, mixing, packing, quality
+from folium.llm import exact_dedup, flac, html_extract, mixing, packing, quality
 from folium.session import table
 
 
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_extract.extract(table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_quality": op2_quality,
     "op6_html_main_text": op6_html_main_text,
+    "op5_flac": op5_flac,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
 }
