@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import exact_dedup, flac, html_extract, mixing, packing, quality
+from folium.llm import exact_dedup, flac, html_extract, jaccard, mixing, packing, quality
 from folium.session import table
 
 
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.round_trip(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op2_quality": op2_quality,
     "op6_html_main_text": op6_html_main_text,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_flac": op5_flac,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
