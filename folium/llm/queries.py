@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import exact_dedup, flac, html_extract, jaccard, mixing, packing, quality
+from folium.llm import exact_dedup, flac, html_extract, jaccard, lm_score, mixing, packing, quality
 from folium.session import table
 
 
@@ -33,6 +33,10 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents as two batches (by a hash of doc_id): a snapshot, and what came in later."""
     documents = table(spark, sf_dir, "documents").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_main_text": op6_html_main_text,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_flac": op5_flac,
+    "op7_lm_score": op7_lm_score,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
 }
