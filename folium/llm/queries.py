@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folium.llm import exact_dedup, flac, html_extract, jaccard, lm_score, mixing, packing, quality
+from folium.llm import exact_dedup, flac, html_extract, jaccard, licenses, lm_score, mixing, packing, preference, quality
 from folium.session import table
 
 
@@ -15,6 +15,62 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as the chosen and the rejected side of pair k."""
+    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
+    pairs = preference.format_preferences(turns.where("conv_id % 2 = 0 OR conv_id IS NULL"), turns.where("conv_id % 2 <> 0"))
+    return pairs.select(
+        "pair_id", "prompt_turns", "prompt", "chosen", "rejected", preference.spans_text(F.col("chosen_spans")).alias("chosen_spans"),
+        preference.spans_text(F.col("rejected_spans")).alias("rejected_spans"), "complete", "same",
+    )
+
+
+OP1_SQL = """
+WITH t AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 <> 0 THEN 1 ELSE 0 END AS side,
+                  turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+same AS (SELECT pair_id, i, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS eq FROM n GROUP BY pair_id, i),
+lcp AS (SELECT pair_id, coalesce(min(i) FILTER (NOT eq) - 1, max(i)) AS shared FROM same GROUP BY pair_id),
+r AS (SELECT n.*, shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS whole FROM n JOIN lcp USING (pair_id)),
+o AS (SELECT *, sum(CASE WHEN i > shared THEN length(whole) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY i)
+             - length(whole) + length(role) + 5 AS start FROM r)
+SELECT pair_id, CAST(max(shared) AS BIGINT) AS prompt_turns,
+       coalesce(string_agg(whole, '' ORDER BY i) FILTER (side = 0 AND i <= shared), '') AS prompt,
+       coalesce(string_agg(whole, '' ORDER BY i) FILTER (side = 0 AND i > shared), '') AS chosen,
+       coalesce(string_agg(whole, '' ORDER BY i) FILTER (side = 1 AND i > shared), '') AS rejected,
+       coalesce(string_agg(start || '-' || (start + length(text) + 7), ',' ORDER BY i)
+                FILTER (side = 0 AND i > shared AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(start || '-' || (start + length(text) + 7), ',' ORDER BY i)
+                FILTER (side = 1 AND i > shared AND role = 'assistant'), '') AS rejected_spans,
+       count(*) FILTER (side = 0) > 0 AND count(*) FILTER (side = 1) > 0 AS complete,
+       count(*) FILTER (i > shared) = 0 AS same
+FROM o GROUP BY pair_id
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: every 16th of a folder is its LICENSE, every 256th one level up, every 4096th two."""
+    n = F.col("doc_id")
+    level = lambda size: F.floor(n / size).cast("string")
+    path = (
+        F.when(n % 4096 == 0, F.concat_ws("/", "source", F.lit("LICENSE")))
+        .when(n % 256 == 0, F.concat_ws("/", "source", level(256), F.lit("LICENSE")))
+        .when(n % 16 == 0, F.concat_ws("/", "source", level(256), level(16), F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", F.col("source"), level(256), level(16), F.concat(n.cast("string"), F.lit(".txt"))))
+    )
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files).drop("text")
+
+
+OP4_SQL = licenses.oracle("""
+SELECT doc_id, text, concat_ws('/', source,
+       CASE WHEN doc_id % 4096 = 0 THEN 'LICENSE'
+            WHEN doc_id % 256 = 0 THEN (doc_id // 256) || '/LICENSE'
+            WHEN doc_id % 16 = 0 THEN (doc_id // 256) || '/' || (doc_id // 16) || '/LICENSE'
+            ELSE (doc_id // 256) || '/' || (doc_id // 16) || '/' || doc_id || '.txt' END) AS path
+FROM documents""")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -65,6 +121,8 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
+    "op1_preference_format": op1_preference_format,
+    "op4_license_scan": op4_license_scan,
     "op2_quality": op2_quality,
     "op6_html_main_text": op6_html_main_text,
     "op3_jaccard_join": op3_jaccard_join,
@@ -75,5 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_preference_format": OP1_SQL,
+    "op4_license_scan": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
