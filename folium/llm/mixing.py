@@ -199,11 +199,12 @@ def mix(documents: DataFrame, p: MixParams = MixParams(), text: str = "text", so
     )
 
 
-def expand(documents: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mix itself: every document repeated as often as ``copies`` says (keys taken as unique)."""
-    copies = mixed.where("copies > 0").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
-    return (
-        documents.join(copies, F.col(key).eqNullSafe(F.col("_key")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_key", "_copies", "_copy")
-    )
+def copies_by_key(mixed: DataFrame) -> DataFrame:
+    """Copies of every key that has some; rows that share a key share the most of their copies."""
+    return mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies"))
+
+
+def expand(documents: DataFrame, copies: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The mix itself: every document repeated as often as ``copies_by_key`` says."""
+    joined = documents.join(copies, documents[key].eqNullSafe(copies["_key"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)

@@ -119,8 +119,15 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).drop("row")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": pipeline,
     "op1_preference_format": op1_preference_format,
     "op4_license_scan": op4_license_scan,
     "op2_quality": op2_quality,
