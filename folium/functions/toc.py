@@ -143,7 +143,7 @@ def detect(documents: DataFrame, key: str = "doc_id", text: str = "text", least:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(k, *f) for k, t in zip(batch["doc_id"], batch["text"], strict=True) if (f := find_toc(t, least, most))]
-            yield pd.DataFrame({"doc_id": [k for k, _, _ in found], "title": pd.Series([t for _, t, _ in found], dtype=object), "lines": [x for _, _, x in found]})
+            yield pd.DataFrame({"doc_id": [k for k, _, _ in found], "title": pd.Series([t for _, t, _ in found], dtype=object), "lines": pd.Series([x for _, _, x in found], dtype=object)})
 
     lines = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, title string, lines array<string>")
     entry = lambda x: F.struct(

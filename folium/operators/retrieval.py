@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folium.functions import fixed
+from folium.functions.text import let
 from folium.functions.vectors import cosine, l2_score, squared_l2
 
 #: Queries whose vectors are sent to every task; more are answered in rounds of so many.
@@ -152,9 +153,8 @@ def extractive_answer(query: Column, passages: Column, count: int = 2) -> Column
     from folium.functions.segments import sentences
 
     words = lambda t: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.char_length(w) > 3))
-    asked = words(query)
-    every = F.flatten(F.transform(passages, sentences))
-    scored = F.transform(every, lambda s, i: F.struct((-F.size(F.array_intersect(words(s), asked))).alias("v"), i.alias("i"), s.alias("s")))
+    score = lambda s, i, asked: F.struct((-F.size(F.array_intersect(words(s), asked))).alias("v"), i.alias("i"), s.alias("s"))
+    given = F.struct(words(query).alias("asked"), F.flatten(F.transform(passages, sentences)).alias("every"))
+    scored = let(given, lambda z: F.transform(z["every"], lambda s, i: score(s, i, z["asked"])))
     best = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, count), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    answer = F.array_join(F.transform(best, lambda x: x["s"]), " ")
-    return F.when(F.coalesce(F.size(every), F.lit(0)) <= 0, REFUSAL).otherwise(answer)
+    return F.coalesce(F.nullif(F.array_join(F.transform(best, lambda x: x["s"]), " "), F.lit("")), F.lit(REFUSAL))
