@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from folium.functions.text import col
+from folium.functions.text import col, let
 
 DIMENSION = 384
 
@@ -41,8 +41,8 @@ def l2_score(distance: Column) -> Column:
 
 
 def unit(a: Column | str) -> Column:
-    size = norm(a)
-    return F.transform(col(a), lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)).cast("float"))
+    scaled = lambda v, size: F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)).cast("float"))
+    return let(col(a), lambda v: let(norm(v), lambda size: scaled(v, size)))
 
 
 def blend(text: Column | str, summary: Column | str, weight: float = 0.3) -> Column:
