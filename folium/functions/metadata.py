@@ -125,6 +125,11 @@ def multimedia(text: Column | str) -> Column:
     return F.when(some, F.struct(figures.alias("figures"), charts.alias("charts"), av.alias("has_av_references"), urls.alias("has_urls"), codes.alias("has_qr_codes")))
 
 
+def kind_histogram(kinds: Column) -> Column:
+    """map of how often each kind (of image, of segment) occurs in an array."""
+    return F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
+
+
 def topics(text: Column | str, title_text: Column | None = None, isbn_text: Column | None = None, publisher_text: Column | None = None,
            vocabulary: dict[str, list[str]] | None = None, least: int = 2) -> Column:
     """Topics of which the title holds a keyword or the text two; a book for an ISBN, a publication for a publisher."""

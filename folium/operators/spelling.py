@@ -6,7 +6,9 @@ characters), which turns edit distance into an equi-join; ``levenshtein`` verifi
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from folium.functions import fixed
 from folium.functions.text import col
@@ -104,3 +106,25 @@ def difference(a: Column, b: Column) -> Column:
     pairs = F.zip_with(F.slice(F.split(a, ""), F.lit(1), shorter), F.slice(F.split(b, ""), F.lit(1), shorter), lambda x, y: (x != y).cast("int"))
     count = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
     return F.struct(count.alias("count"), F.when(F.char_length(a) > 0, F.round(count * F.lit(100.0) / F.char_length(a), 2)).otherwise(F.lit(0.0)).alias("percent"))
+
+
+def apply_provider(words: DataFrame, provider) -> DataFrame:
+    """word, correction by an injected corrector (word to word), a batch of distinct words at a time."""
+    @F.pandas_udf(StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(provider).astype(object)
+
+    return words.select("word").distinct().withColumn("correction", run("word")).where("correction IS NOT NULL AND correction <> word")
+
+
+#: Correctors by name; the first of a preference that can run is taken.
+BACKENDS = {
+    "standard": lambda words, dictionary, **o: corrections(words, dictionary, o.get("distance", 2), "frequency"),
+    "closest": lambda words, dictionary, **o: corrections(words, dictionary, o.get("distance", 2), "distance"),
+    "scan": lambda words, dictionary, **o: frequent_candidates(words, dictionary, o.get("rare", 1e-6)),
+}
+
+
+def backend(*preference: str):
+    """The first known corrector of a preference, else the standard one."""
+    return next((BACKENDS[p] for p in preference if p in BACKENDS), BACKENDS["standard"])

@@ -456,11 +456,12 @@ def cosine_pairs(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT vec_id, embedding AS e, list_transform(list_zip(embedding, list_reverse(embedding)), lambda z: z[1]::DOUBLE * 0.7 + z[2]::DOUBLE * 0.3) AS v FROM embeddings)
-SELECT vec_id, round(list_sum(list_transform(list_zip(v, e), lambda z: z[1] * z[2]::DOUBLE)) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS similarity FROM m""")
+WITH m AS (SELECT vec_id, embedding AS e, list_transform(list_zip(embedding, list_reverse(embedding)), lambda z: z[1]::DOUBLE * 0.7::DOUBLE + z[2]::DOUBLE * 0.3::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, e, list_transform(v, lambda x: (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT) AS w FROM m)
+SELECT vec_id, round(list_sum(list_transform(list_zip(w, e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS similarity FROM u""")
 def blend_embeddings(spark, sf):
     mixed = V.blend("embedding", F.reverse("embedding"), 0.3)
-    return table(spark, sf, "embeddings").select("vec_id", F.round(V.dot(mixed, "embedding"), 5).alias("similarity"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(V.dot(mixed, "embedding"), 6).alias("similarity"))
 
 
 @query("""

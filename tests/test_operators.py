@@ -33,6 +33,9 @@ def test_spelling(spark):
     assert (d["count"], d["percent"]) == (1, 25.0)
     c = spark.range(1).select(spelling.scan_candidates(F.lit("moon")).alias("c")).first()["c"]
     assert "rnoon" in c and "Moon" in c
+    words = spark.createDataFrame([("hous",), ("receive",)], "word string")
+    assert {tuple(r) for r in spelling.backend("none", "closest")(words, dictionary).collect()} == {("hous", "house")}
+    assert {tuple(r) for r in spelling.apply_provider(words, lambda w: w + "e" if w == "hous" else w).collect()} == {("hous", "house")}
     near = spelling.frequent_candidates(spark.createDataFrame([("hoase",)], "word string"), dictionary)
     assert near.count() == 0
 
@@ -118,6 +121,19 @@ def test_index_roundtrip_and_rag(spark, tmp_path):
     assert index.join(export.upsert_vectors(index, index.limit(1), ["document_id", "chunk_id"]), "vec_id").count() == 2
 
 
+def test_streaming_ingest(spark, tmp_path):
+    from folium.streaming.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("first")
+    for n, name in ((1, "b.txt"), (2, "c.txt")):
+        ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
+        assert spark.read.parquet(str(tmp_path / "t")).count() == n
+        (tmp_path / "in" / name).write_text("second")
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2  # the same content twice is one document
+
+
 def test_summary(spark):
     events = spark.createDataFrame([("a", "success", 1), ("a", "failed", 2), ("b", "success", 1)], "path string, status string, t int").withColumn("timestamp", F.col("t").cast("timestamp"))
     final = {r["path"]: r["status"] for r in summary.final_events(events).collect()}
