@@ -37,8 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch between the JVM and Python where the session has the default: texts may be long.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors once per application, so Python stages can import it."""
+    """Send this package's sources to the executors once per application, so Python stages can import it.
+
+    Batches are made smaller unless the session has set their size: ten thousand texts, or pairs of
+    sets, would be held several times over by the JVM, by Arrow and by Python.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
