@@ -86,7 +86,8 @@ class Templates:
         return sorted(chosen)
 
     def anchor_pattern(self) -> str:
-        return "(?i)" + "|".join(t.replace(".", "[.]") for t in self.anchors())
+        """Any anchor as a whole token: nothing that belongs to a token stands beside it."""
+        return "(?i)(?:^|[^a-z0-9])(?:" + "|".join(t.replace(".", "[.]") for t in self.anchors()) + ")(?:$|[^a-z0-9])"
 
 
 def best_notices(files: DataFrame, spark: SparkSession, key: str, text: str, templates: Templates) -> DataFrame:
