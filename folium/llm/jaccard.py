@@ -7,19 +7,20 @@ Distance is 1 - Jaccard, a metric, and links are pairs within r = 1 - threshold.
    all at distance 1, the corpus' usual case), so the outermost regions are those of single
    shingles: put all shingles in one global order (frequent ones last, then by hash) and a class in
    the region of each of its first n - ceil(t n) + 1 shingles.  Every linked pair meets in one.
-3. Pivots.  In each region the class of the least id is the pivot and every member is compared with
-   it.  Members within r share its component: pairs among them need no comparison of their own.
-4. Boundary.  A region whose members are not all of one component is joined again: only pairs of
-   different components, in blocks, windowed first by what the triangle inequality leaves for sizes
-   (n of one at least t times n of the other) and by an upper bound of the intersection from the
-   ordered prefixes of both.  What survives is compared on whole sets.
+3. Pivots.  In each region the class that shares most of its shingles with others is the pivot and
+   every member is compared with it.  Members within r share its component: pairs among them need no
+   comparison of their own.
+4. Boundary.  A region whose members are not all of one component is joined again: members outside
+   the pivot's component with those of other components, windowed by what the triangle inequality
+   leaves for sizes (n of one at least t times n of the other), by ranks and counts of shared prefix
+   entries, then by the ordered prefixes of both.  What survives is compared on whole sets.
 5. Components of all links; the class' smallest document id names them.
 
 Pairs are verified on the whole sets of 64-bit shingle hashes; only sets of surviving pairs move.
 
 Skew: equal sets collapse before any join; frequent shingles leave the regions as far as a bounded
 list of them goes (``HEAVY_KEYS``), which affects cost only; entries travel as packed arrays by
-shingle shard; a large region is compared in blocks, never gathered as a whole.
+shingle shard; regions are equi-joins that adaptive execution may split, never gathered groups.
 
 Cases: null or blank text has an empty set and links with nothing, itself its component; with fewer
 than five words the whole sequence is one shingle; repeated rows fall into one class; the key may be
@@ -39,10 +40,10 @@ from pyspark.sql import DataFrame, functions as F
 from folium.llm.graph import components
 from folium.session import materialize, ship
 
-#: Frequent shingles put last: at most this many (8 bytes each), by a frequency threshold that follows the corpus.
+#: Frequent shingles put last: at most this many (8 bytes each), the most frequent ones.
 HEAVY_KEYS = 2_000_000
-#: Entries of a shard, shingles between two flushes of a task, classes of a block.
-SHARD_ENTRIES, FLUSH, BLOCK = 400_000, 3_000_000, 64
+#: Entries of a shard; shingles a task counts together; entries it holds before it sends them; words it remembers.
+SHARD_ENTRIES, COUNTED, FLUSH, REMEMBERED = 400_000, 2_000_000, 600_000, 200_000
 #: Documents whose sets are wanted: broadcast up to this many keys (8 bytes each), joined by shuffle beyond.
 BROADCAST_KEYS = 1_000_000
 
@@ -59,7 +60,7 @@ class _Words(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -120,7 +121,7 @@ def _scan(documents: DataFrame, p: JaccardParams, key: str, text: str) -> DataFr
                     held.append(h)
                     size += len(h)
             yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": ns, "class": classes})
-            if size > FLUSH:
+            if size > COUNTED:
                 yield frequent()
                 size = 0
                 seen.clear()
@@ -166,10 +167,9 @@ def _entries(documents: DataFrame, p: JaccardParams, text: str, heavy: np.ndarra
                 m = prefix_length(len(h), p.percent)
                 held.append((h[:m], np.full(m, c, np.int64), np.full(m, len(h), np.int32), np.arange(m, dtype=np.int32), np.full(m, h[m - 1], np.uint64)))
                 size += m
-            if size > FLUSH:
-                yield flush()
-                size = 0
-                seen.clear()
+                if size > FLUSH:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 
@@ -178,7 +178,10 @@ def _entries(documents: DataFrame, p: JaccardParams, text: str, heavy: np.ndarra
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of shingles that at least two classes hold in their prefix: key, class, n, rank, end."""
+    """Entries of shingles that at least two classes hold in their prefix: key, class, n, rank, end.
+
+    ``end`` is the prefix' last key with its top bit turned, so that signed order is the global order.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["keys"]])
@@ -192,7 +195,7 @@ def _shared(entries: DataFrame) -> DataFrame:
         k, c, n, r, e = k[new], c[new], n[new], r[new], e[new]
         same = k[1:] == k[:-1]
         multi = np.r_[False, same] | np.r_[same, False]
-        return pd.DataFrame({"key": k[multi].view(np.int64), "class": c[multi], "n": n[multi], "rank": r[multi], "end": e[multi].view(np.int64)})
+        return pd.DataFrame({"key": k[multi].view(np.int64), "class": c[multi], "n": n[multi], "rank": r[multi], "end": (e[multi] ^ _TOP).view(np.int64)})
 
     return entries.groupBy("shard").applyInPandas(run, "key long, class long, n int, rank int, end long")
 
@@ -243,6 +246,7 @@ def _may_link(na: int, ka: np.ndarray, ra: np.ndarray, ea: int, nb: int, kb: np.
     the rest of either set can be common.  Signed order equals the global order shifted by the top
     bit, so keys are compared as unsigned.
     """
+    ea, eb = (np.int64(e).view(np.uint64) ^ _TOP for e in (ea, eb))
     if 100 * min(na, nb) < percent * max(na, nb):
         return False
     v = min(ea, eb)
@@ -253,6 +257,26 @@ def _may_link(na: int, ka: np.ndarray, ra: np.ndarray, ea: int, nb: int, kb: np.
     return _linked(na, nb, min(known + min(na - used_a, nb - used_b), na, nb), percent)
 
 
+def _roomy(a: str, b: str, percent: int, first: bool):
+    """Column: whether sizes, ranks and counts of shared prefix entries leave room for a link.
+
+    ``a`` and ``b`` name entries (class, n, end, cnt, rank, at) of one shingle; ``at`` is an entry's
+    place among the shared ones of its class.  With ``first`` the shingle is taken as the first the
+    two have in common, as it is in one region of every linked pair: nothing before it is common, so
+    at most what follows it in either set is, and of the prefixes at most the lesser number of
+    shared entries from it on; beyond the nearer end at most the rest of that set.
+    """
+    col = lambda side, c: F.col(f"{side}.{c}")
+    rest = lambda side: F.floor((F.lit(percent) * col(side, "n") + 99) / 100) - 1
+    nearer = F.when(col(a, "end") < col(b, "end"), rest(a)).when(col(a, "end") > col(b, "end"), rest(b)).otherwise(F.least(rest(a), rest(b)))
+    small, large = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
+    left = lambda side: col(side, "cnt") - (col(side, "at") if first else F.lit(0))
+    most = F.least(F.least(left(a), left(b)) + nearer, small)
+    if first:
+        most = F.least(most, col(a, "n") - col(a, "rank"), col(b, "n") - col(b, "rank"))
+    return (small * 100 >= large * percent) & (most * 100 >= (small + large - most) * percent)
+
+
 def _prefixes(shared: DataFrame) -> DataFrame:
     """class, n, end and its shared prefix keys with ranks, in order."""
     # Unsigned order of the keys is the order of their ranks.
@@ -268,8 +292,8 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame, p: JaccardParams) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hit = [
-                _may_link(na, np.asarray(ka, np.int64).view(np.uint64), np.asarray(ra), np.int64(ea).view(np.uint64),
-                          nb, np.asarray(kb, np.int64).view(np.uint64), np.asarray(rb), np.int64(eb).view(np.uint64), p.percent)
+                _may_link(na, np.asarray(ka, np.int64).view(np.uint64), np.asarray(ra), ea,
+                          nb, np.asarray(kb, np.int64).view(np.uint64), np.asarray(rb), eb, p.percent)
                 for na, ka, ra, ea, nb, kb, rb, eb in zip(
                     *(batch[c] for c in ("a_n", "a_keys", "a_ranks", "a_end", "b_n", "b_keys", "b_ranks", "b_end")), strict=True
                 )
@@ -281,53 +305,22 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame, p: JaccardParams) -> DataFra
 
 
 def _boundary_pairs(shared: DataFrame, prefixes: DataFrame, roots: DataFrame, p: JaccardParams) -> DataFrame:
-    """Pairs of different components that share a region, left by the windows; regions in blocks."""
-    placed = shared.select("key", "class").join(roots, shared["class"] == roots["node"], "left").select(
-        "key", "class", F.coalesce("root", "class").alias("root")
-    )
-    pivot = F.min(F.struct("class", "root"))
-    regions = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), pivot.alias("pivot"),
-        F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sign"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("sign2"),
-    ).where("lo <> hi")
-    # Regions of the same members are joined once.
-    open_regions = regions.groupBy("m", "sign", "sign2").agg(F.min(F.struct("key", F.col("pivot.root").alias("major"))).alias("r")).select(
-        F.col("r.key").alias("key"), F.col("r.major").alias("major"), "m"
-    )
-    members = placed.join(materialize(open_regions), "key")
-    # A block holds members of the pivot's component or others, never both.
-    blocks = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK)), F.lit(1)).cast("int")
-    block = F.when(F.col("m") <= BLOCK, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("class"), blocks) * 2 + (F.col("root") == F.col("major")).cast("int")
-    )
-    dealt = members.withColumn("blocks", blocks).withColumn("block", block.cast("int"))
-    # Meetings (low, high) of a block: with every block that holds a member of another component.
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i * 2)
-    majors = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i * 2 + 1)
-    partners = F.when(F.col("m") <= BLOCK, F.array(F.lit(0))).when(F.col("block") % 2 == 1, others).otherwise(F.concat(others, majors))
-    met = dealt.withColumn("with", F.explode(partners)).select(
-        "key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "class", "root"
-    )
-    full = met.join(prefixes, "class")
+    """Pairs of different components that share a region, as far as the windows leave them.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "class"], kind="stable")
-        n, cls, root, side = (pdf[c].to_numpy() for c in ("n", "class", "root", "block"))
-        keys = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["keys"]]
-        ranks = [np.asarray(x) for x in pdf["ranks"]]
-        ends = pdf["end"].to_numpy(np.int64).view(np.uint64)
-        two = pdf["low"].iloc[0] != pdf["high"].iloc[0]
-        a, b = [], []
-        for i in range(len(pdf)):
-            upto = int(np.searchsorted(n, 100 * n[i] // p.percent, side="right"))  # the window of sizes
-            for j in range(i + 1, upto):
-                if root[i] != root[j] and not (two and side[i] == side[j]):
-                    if _may_link(n[i], keys[i], ranks[i], ends[i], n[j], keys[j], ranks[j], ends[j], p.percent):
-                        a.append(min(cls[i], cls[j]))
-                        b.append(max(cls[i], cls[j]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return full.groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
+    Per region only members outside its pivot's component are joined with the others: after the
+    pivots these are few, and the join has no more than key, windows and components to look at.
+    """
+    placed = shared.join(roots, shared["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+    regions = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("central", "class", "root")).alias("pivot"))
+    open_regions = materialize(regions.where("lo <> hi").select("key", F.col("pivot.root").alias("major")))
+    entry = F.struct("class", "n", "end", "cnt", "rank", "at", "root")
+    members = materialize(placed.join(open_regions, "key").select("key", "major", entry.alias("e")))
+    minors = members.where("e.root <> major").select("key", F.col("e").alias("a"))
+    others = members.select("key", F.col("e").alias("b"))
+    different = (F.col("a.root") != F.col("b.root")) & _roomy("a", "b", p.percent, True)
+    met = minors.join(others, "key").where(different)
+    pairs = met.select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b")).distinct()
+    return _bounded(materialize(pairs), prefixes, p)
 
 
 def links(documents: DataFrame, p: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -337,16 +330,28 @@ def links(documents: DataFrame, p: JaccardParams = JaccardParams(), key: str = "
     rows = scanned.where("kind = 0").select("doc_id", "n", "class")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    # Counts of what is dropped are at most ``total``, so at most HEAVY_KEYS shingles pass.
-    counted = scanned.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // HEAVY_KEYS + 1))
-    heavy = np.sort(counted.select("class").toPandas()["class"].to_numpy(np.int64)).view(np.uint64)
+    # Their counts are at most ``total``, so at most HEAVY_KEYS shingles pass however long the texts.
+    counted = scanned.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).where("n >= 8")
+    levels = counted.groupBy(F.least(F.col("n"), F.lit(total // HEAVY_KEYS + 8)).alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("n").desc()).collect()
+    least, room = total // HEAVY_KEYS + 8, HEAVY_KEYS
+    for level in levels:  # at most total / HEAVY_KEYS + 1 rows
+        if level["m"] > room:
+            break
+        least, room = level["n"], room - level["m"]
+    heavy = np.sort(counted.where(F.col("n") >= least).select("class").toPandas()["class"].to_numpy(np.int64)).view(np.uint64)
     shards = max(32, -(-total * (100 - p.percent) // 100 // SHARD_ENTRIES))
-    shared = materialize(_shared(_entries(documents, p, text, heavy, shards)))
-    prefixes = materialize(_prefixes(shared))
-    pivots = shared.groupBy("key").agg(F.min(F.struct("class", "n")).alias("pivot")).select("key", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("a_n"))
+    entries = materialize(_shared(_entries(documents, p, text, heavy, shards)))
+    prefixes = materialize(_prefixes(entries))
+    listed = F.arrays_zip("keys", "ranks")
+    shared = materialize(
+        prefixes.select("class", "n", "end", F.size("keys").alias("cnt"), F.posexplode(listed).alias("at", "e"))
+        .select("class", "n", "end", "cnt", "at", F.col("e.keys").alias("key"), F.col("e.ranks").alias("rank"), (F.col("cnt") / F.col("n")).alias("central"))
+    )
+    entry = ("class", "n", "end", "cnt", "rank", "at")
+    pivots = shared.groupBy("key").agg(F.max(F.struct("central", *entry)).alias("a"))
     starred = (
-        shared.join(pivots, "key").where("class <> a")
-        .where((F.least("n", "a_n") * 100) >= F.greatest("n", "a_n") * p.percent).select("a", F.col("class").alias("b")).distinct()
+        shared.select("key", F.struct(*entry).alias("b")).join(pivots, "key").where("a.class <> b.class")
+        .where(_roomy("a", "b", p.percent, False)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
