@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folium.llm import exact_dedup, jaccard, mixing, packing, quality
 from folium.llm.queries import tokenizer_path
-from folium.session import shared_folder, table
+from folium.session import materialize, shared_folder, table
 
 #: Keys of rows that go (or copies of rows that stay): broadcast up to this many, 50 bytes each at most.
 BROADCAST_ROWS = 1_000_000
@@ -44,15 +44,30 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join the document with the smallest doc_id stays."""
-    found = jaccard.join_components(docs)
-    gone = _side(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    """Of each component of the Jaccard join one row stays: of the smallest doc_id, then the least class.
+
+    Rows go by doc_id and class, so that what shares a key (or has none) with a near copy stays; of rows
+    alike in both, one stays.  Null is the largest key.  Texts without shingles are no copies.
+    """
+    found = jaccard.rows_of_components(docs).where("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("class") == F.col("keeper"))
+    alike = found.groupBy("doc_id", "class").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = materialize(alike.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("class").alias("_odd"), "stays"))
+    ids = _side(odd.select("_id").distinct())
+    has_odd = docs["doc_id"].eqNullSafe(ids["_id"])
+    clean = docs.join(ids, has_odd, "left_anti")
+    # Only rows of a key that some row goes by are shingled again.
+    marked = jaccard.with_class(docs.join(ids, has_odd, "left_semi"), "_class")
+    side = _side(odd)
+    joined = marked.join(side, marked["doc_id"].eqNullSafe(side["_id"]) & (marked["_class"] == side["_odd"]), "left")
+    single = joined.where(F.col("_odd").isNull()).select(*docs.columns)
+    repeated = joined.where("stays").dropDuplicates(["_id", "_odd"]).select(*docs.columns)
+    return clean.unionByName(single).unionByName(repeated)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
-    copies = mixing.copies_by_key(mixing.mix(docs))
+    """Rows as often as the mixture takes them, each by its own number of copies."""
+    copies = materialize(mixing.copies_by_key(mixing.mix(docs)))
     return mixing.expand(docs, _side(copies))
 
 

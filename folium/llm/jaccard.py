@@ -365,16 +365,37 @@ def links(documents: DataFrame, p: JaccardParams = JaccardParams(), key: str = "
     return rows, first.unionByName(confirmed(second))
 
 
-def join_components(documents: DataFrame, p: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest key of all documents reachable by links), class."""
+def rows_of_components(documents: DataFrame, p: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest key of all documents reachable by links), class, keeper.
+
+    ``keeper`` is the component's least class of those that hold its smallest key; null without shingles.
+    Two components may have the same key, or none, but not the same keeper.
+    """
     rows, edges = links(documents, p, key, text)
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(components(edges), F.col("class") == F.col("node"), "left").select(
         "class", "least", F.coalesce("root", "class").alias("root")
     )
-    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_class = materialize(rooted.select("class", "root").join(named, "root").select("class", "component_id"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "class")).alias("f")
+    named = materialize(rooted.groupBy("root").agg(first).select("root", F.col("f.least").alias("component_id"), F.col("f.class").alias("keeper")))
+    of_class = materialize(rooted.select("class", "root").join(named, "root").select("class", "component_id", "keeper"))
     return rows.join(of_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "keeper",
     )
+
+
+def join_components(documents: DataFrame, p: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest key of all documents reachable by links), class."""
+    return rows_of_components(documents, p, key, text).drop("keeper")
+
+
+def with_class(documents: DataFrame, name: str, p: JaccardParams = JaccardParams(), text: str = "text") -> DataFrame:
+    """The documents and the class of each one's text."""
+    ship(documents.sparkSession)
+
+    @F.pandas_udf("long")
+    def run(bodies: pd.Series) -> pd.Series:
+        return pd.Series([class_of(shingles(body, p.words)) for body in bodies], dtype="int64")
+
+    return documents.withColumn(name, run(F.coalesce(F.col(text), F.lit(""))))

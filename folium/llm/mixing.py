@@ -46,6 +46,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_digest(source: Column, text: Column) -> Column:
+    """64-bit hash of a row's source and text; null differs from every value."""
+    return F.xxhash64(source.isNull(), source, text.isNull(), text)
+
+
 def source_targets(sources: DataFrame, p: MixParams) -> DataFrame:
     """``source, source_size`` -> plus ``target``: shares by cycling weights, filled up to the cap.
 
@@ -159,9 +164,12 @@ def cell_copies(histogram: DataFrame, solution: DataFrame, p: MixParams) -> Data
 
 
 def mix(documents: DataFrame, p: MixParams = MixParams(), text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, source, size, source_size, target, rate, copies, taken."""
+    """One row per document: key, source, size, source_size, target, rate, copies, taken, digest (of source and text)."""
     sized = materialize(
-        documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+        documents.select(
+            F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+            row_digest(F.col(source), F.col(text)).alias("digest"),
+        )
     )
     total = sized.count()
     buckets = max(1, int(total**0.5))
@@ -186,7 +194,7 @@ def mix(documents: DataFrame, p: MixParams = MixParams(), text: str = "text", so
              - F.floor(F.col("granted").cast("decimal(38,0)") * (F.col("seen") - F.col("m")) / F.col("n"))).cast("long"),
         )
     )
-    rank = Window.partitionBy("source", "size", "bucket").orderBy("doc_id")
+    rank = Window.partitionBy("source", "size", "bucket").orderBy("doc_id", "digest")
     return (
         dealt.withColumn("place", F.row_number().over(rank)).alias("d")
         .join(
@@ -194,17 +202,29 @@ def mix(documents: DataFrame, p: MixParams = MixParams(), text: str = "text", so
             F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.size") == F.col("q.size")) & (F.col("d.bucket") == F.col("q.bucket")),
         )
         .select("d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.rate",
-                (F.col("q.base") + (F.col("d.place") <= F.col("q.extra")).cast("long")).alias("copies"))
+                (F.col("q.base") + (F.col("d.place") <= F.col("q.extra")).cast("long")).alias("copies"), "d.digest")
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 
 
 def copies_by_key(mixed: DataFrame) -> DataFrame:
-    """Copies of every key that has some; rows that share a key share the most of their copies."""
-    return mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies"))
+    """Per key and digest that has copies: those every row gets, and how many rows get one more.
 
-
-def expand(documents: DataFrame, copies: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mix itself: every document repeated as often as ``copies_by_key`` says."""
-    joined = documents.join(copies, documents[key].eqNullSafe(copies["_key"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    Rows of one key and digest have one source and size, hence copies that differ by one at most.
+    """
+    alike = mixed.groupBy(F.col("doc_id").alias("_key"), F.col("digest").alias("_row")).agg(
+        F.min("copies").alias("_least"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("_more")
+    )
+    return alike.where("_least > 0 OR _more > 0")
+
+
+def expand(documents: DataFrame, copies: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row repeated as often as ``copies_by_key`` says, whatever other rows share its key."""
+    marked = documents.withColumn("_digest", row_digest(F.col(source), F.col(text)))
+    joined = marked.join(copies, marked[key].eqNullSafe(copies["_key"]) & (marked["_digest"] == copies["_row"]))
+    even = joined.where("_more = 0").withColumn("_copies", F.col("_least"))
+    # Only rows alike in key, source and text are told apart by a rank: without such rows nothing is sorted.
+    rank = F.row_number().over(Window.partitionBy("_key", "_row").orderBy("_least"))
+    uneven = joined.where("_more > 0").withColumn("_copies", F.col("_least") + (rank <= F.col("_more")).cast("long"))
+    taken = even if copies.where("_more > 0").isEmpty() else even.unionByName(uneven.where("_copies > 0"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)

@@ -52,3 +52,29 @@ def test_repeated_rows(spark):
     d = corpus(spark, ["a b c", "a b c", None, None, "z"], [1, 1, None, None, 2]).withColumn("text", F.col("text"))
     out = corpus_pipeline.drop_copies(spark, d, "")
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(-1, ""), (1, "a b c"), (2, "z")]
+
+
+def test_near_copies_go_by_row(spark):
+    """Null and repeated keys: a near copy takes no unrelated row of its key with it, and none escapes by its key."""
+    t = [words(80, i) for i in range(9)]
+    texts = [t[0], t[0] + " tail", t[1], t[2], t[3], t[3] + " tail", t[4], t[5], t[5] + " tail", t[6], t[6].upper(), t[7], t[7] + " tail", None, ""]
+    ids = [1, None, None, 2, 2, 3, 3, None, None, 4, 4, 5, 5, None, 1]
+    out = corpus_pipeline.drop_near_copies(spark, corpus(spark, texts, ids), "").collect()
+    kept = Counter((r["doc_id"], r["text"]) for r in out)
+    sure = [(1, t[0]), (None, t[1]), (2, t[2]), (2, t[3]), (3, t[4]), (None, None), (1, "")]
+    assert all(kept[row] == 1 for row in sure)
+    for i, key in ((5, None), (6, 4), (7, 5)):  # one row of each component, which one is open
+        assert sum(n for (k, x), n in kept.items() if k == key and x and x.lower().startswith(t[i].lower())) == 1
+    assert sum(kept.values()) == len(sure) + 3
+
+
+def test_copies_go_by_row(spark):
+    """Rows of one key are taken as often as the mixture takes each of them."""
+    texts = [words(3 + i * i % 90, i) for i in range(60)] + ["same text here"] * 7
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(60)] + [7] * 7
+    d = corpus(spark, texts, ids, ["a" if i % 5 else "b" for i in range(60)] + ["a"] * 7)
+    want = Counter()
+    for r in corpus_pipeline.mixing.mix(d).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in corpus_pipeline.mix_sources(spark, d, "").collect())
+    assert got == +want
