@@ -3,8 +3,10 @@
 DataFrame operators only.  Every line of every text is a candidate notice.  Weights are those of the
 templates' own collection (a token outside it has the greatest weight), so no corpus statistics are
 gathered.  Lines are screened by anchor tokens: tokens without which no line can reach the threshold,
-which ``Templates`` proves when it is built.  A file's own licence is its best line's; a file without
-one inherits from the nearest ancestor directory that holds a licence file with one.
+which ``Templates`` proves when it is built.  Files that hold a word every licence holds are also compared
+as wholes with licence texts, and their windows of up to ``WINDOW`` lines with standard headers and titles
+that wrap; an SPDX tag names its licence.  A file's own licence is the best of all; a file without one
+inherits from the nearest ancestor directory that holds a licence file with one.
 
 Scale: the templates are a few rows (broadcast).  Directories are reduced to distinct ones before
 their ancestors are joined, so a root above a third of all files is one row; files then meet their
@@ -21,9 +23,12 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from folium.functions.text import let
+
 # Short notices by which licences are applied to a work.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -41,6 +46,45 @@ NOTICES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Proprietary": "Copyright. All rights reserved.",
 }
+# Titles of licences and sentences of the headers they ask to be put into files.
+_GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as "
+        "published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.")
+HEADERS = {
+    "Apache-2.0/title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "Apache-2.0/short title": "Apache License",
+    "Apache-2.0/header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "MIT/title": "MIT License",
+    "MIT/long title": "The MIT License (MIT)",
+    "MIT/permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+                      'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+                      "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "GPL-3.0/title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-3.0/header": _GPL.format("", 3),
+    "GPL-2.0/title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-2.0/header": _GPL.format("", 2).replace(":", ";"),
+    "LGPL-3.0/title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-3.0/header": _GPL.format("Lesser ", 3),
+    "LGPL-2.1/title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-2.1/header": _GPL.format("Lesser ", 2.1).replace("program", "library"),
+    "AGPL-3.0/title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "AGPL-3.0/header": _GPL.format("Affero ", 3),
+    "MPL-2.0/title": "Mozilla Public License Version 2.0",
+    "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+                      "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause/title": "BSD 3-Clause License",
+    "BSD-3-Clause/short": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "ISC/title": "ISC License",
+    "ISC/permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+                      "provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC0-1.0/title": "Creative Commons CC0 1.0 Universal",
+}
+#: Licence texts, one file each.
+TEXTS = Path(__file__).resolve().parent / "license_texts"
+#: A word of every header and text, without which no window or file is a licence (SPDX tags hold one too).
+HELD = "(?i)licen[sc]e|permission|redistribution|creative commons"
+WINDOW = 6
+#: Windows and wholes come after all notices where scores are equal.
+LATER = 1000
 COMMON = frozenset("this is under the of to a and in by for".split())
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -90,8 +134,81 @@ class Templates:
         return "(?i)(?:^|[^a-z0-9])(?:" + "|".join(t.replace(".", "[.]") for t in self.anchors()) + ")(?:$|[^a-z0-9])"
 
 
-def best_notices(files: DataFrame, spark: SparkSession, key: str, text: str, templates: Templates) -> DataFrame:
-    """key, license, score of the best line of each file that reaches the threshold."""
+def read_texts() -> dict[str, str]:
+    return {p.stem: p.read_text("utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+
+
+@dataclass(frozen=True)
+class Wholes:
+    """Headers for windows and texts for whole files; names are a licence and what follows a slash.
+
+    Counts of a token are damped, 1 + ln n, so that a long text is not its articles and conjunctions.
+    """
+
+    headers: dict[str, str] = field(default_factory=lambda: dict(HEADERS))
+    texts: dict[str, str] = field(default_factory=read_texts)
+    threshold: float = 0.7
+
+    def weights(self) -> tuple[list[tuple[str, int, str, str, float, float]], dict[str, float]]:
+        """(kind, number, license, token, weight, idf) and per kind the weight of a token outside."""
+        rows, outside, number = [], {}, LATER
+        for kind, named in (("window", self.headers), ("whole", self.texts)):
+            counts = {name: Counter(re.findall(TOKEN, text.lower())) for name, text in named.items()}
+            df = Counter(t for c in counts.values() for t in c)
+            idf = {t: math.log((1 + len(named)) / (1 + n)) + 1 for t, n in df.items()}
+            outside[kind] = math.log(1 + len(named)) + 1
+            for name, c in counts.items():
+                w = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(c.items())}
+                norm = math.sqrt(sum(x * x for x in w.values()))
+                rows += [(kind, number, name.split("/")[0], t, x / norm, idf[t]) for t, x in w.items()]
+                number += 1
+        return rows, outside
+
+
+def whole_scores(files: DataFrame, spark: SparkSession, key: str, text: str, templates: Templates, wholes: Wholes) -> DataFrame:
+    """key, number, license, score of windows, whole files and SPDX tags that reach the threshold."""
+    plain = lambda x: F.array_join(F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)), " ")
+    exact = [" ".join(re.findall(TOKEN, t.lower())) for t in templates.notices.values()]
+    rows = files.where(F.regexp_like(F.col(text), F.lit(HELD))).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    tag = F.regexp_extract("_text", r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9][A-Za-z0-9.-]*)", 1)
+    tags = rows.select("_key", F.regexp_replace(tag, "-(only|or-later)$", "").alias("license")).where("license <> ''").select(
+        "_key", F.lit(LATER - 1).alias("number"), "license", F.lit(1.0).alias("score")
+    )
+    # A line that is a notice scores 1 and wins ties, so nothing else of its file can be better.
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit("[A-Za-z0-9]")))
+    starts = lambda ls: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls), F.lit(1))), lambda i: F.slice(ls, i, WINDOW))
+    open_rows = rows.select("_key", "_text", let(lines, lambda ls: F.when(
+        ~F.exists(ls, lambda x: F.regexp_like(x, F.lit(templates.anchor_pattern())) & plain(x).isin(*exact)),
+        F.filter(starts(ls), lambda w: F.exists(w, lambda x: F.regexp_like(x, F.lit(HELD)))),
+    )).alias("_starts")).where("_starts IS NOT NULL")
+    windows = open_rows.select("_key", F.posexplode("_starts").alias("_at", "_w")).select(
+        "_key", "_at", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda n: F.array_join(F.slice("_w", F.lit(1), n), " "))).alias("_n", "unit")
+    )
+    units = windows.select("_key", F.lit("window").alias("kind"), "_at", "_n", "unit").unionByName(
+        open_rows.select("_key", F.lit("whole").alias("kind"), F.lit(0).alias("_at"), F.lit(0).alias("_n"), F.col("_text").alias("unit"))
+    )
+    at = ["_key", "kind", "_at", "_n"]
+    counts = units.select(*at, F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TOKEN), F.lit(0))).alias("token")).groupBy(*at, "token").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    table, outside = wholes.weights()
+    weights = F.broadcast(spark.createDataFrame(table, "kind string, number int, license string, token string, weight double, idf double"))
+    idf = F.broadcast(weights.select("kind", "token", "idf").distinct())
+    unknown = F.when(F.col("kind") == "window", F.lit(outside["window"])).otherwise(F.lit(outside["whole"]))
+    weighed = counts.join(idf, ["kind", "token"], "left").withColumn("w", (1 + F.ln("n")) * F.coalesce("idf", unknown))
+    norms = weighed.groupBy(*at).agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("token", "w"))).alias("known")
+    )
+    cosines = (
+        norms.select(*at, "norm", F.explode("known").alias("k")).select(*at, "norm", F.col("k.token").alias("token"), F.col("k.w").alias("w"))
+        .join(weights, ["kind", "token"]).groupBy(*at, "number", "license").agg((F.sum(F.col("w") * F.col("weight")) / F.max("norm")).alias("score"))
+        .withColumn("score", F.round("score", 6)).where(F.col("score") >= wholes.threshold)
+    )
+    return cosines.select("_key", "number", "license", "score").unionByName(tags)
+
+
+def best_notices(files: DataFrame, spark: SparkSession, key: str, text: str, templates: Templates, wholes: Wholes) -> DataFrame:
+    """key, license, score of the best line, window or whole of each file that reaches the threshold."""
     pattern = F.lit(templates.anchor_pattern())
     lines = (
         files.where(F.regexp_like(F.col(text), pattern))
@@ -118,7 +235,8 @@ def best_notices(files: DataFrame, spark: SparkSession, key: str, text: str, tem
         .withColumn("score", F.round("score", 6)).where(F.col("score") >= templates.threshold)
     )
     best = F.max_by("license", F.struct("score", -F.col("number")))
-    return cosines.groupBy("_key").agg(best.alias("license"), F.max("score").alias("score"))
+    found = cosines.select("_key", "number", "license", "score").unionByName(whole_scores(files, spark, key, text, templates, wholes))
+    return found.groupBy("_key").agg(best.alias("license"), F.max("score").alias("score"))
 
 
 def parent(path: Column) -> Column:
@@ -134,12 +252,12 @@ def ancestors(directory: Column) -> Column:
 
 
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text",
-         license_name: str = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$", templates: Templates = Templates()) -> DataFrame:
+         license_name: str = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$", templates: Templates = Templates(), wholes: Wholes = Wholes()) -> DataFrame:
     """Files with own_license, own_score, license, inherited_from (a directory, null if own or none).
 
     Keys must tell files apart for a file's own licence to be its alone.
     """
-    own = best_notices(files, files.sparkSession, key, text, templates)
+    own = best_notices(files, files.sparkSession, key, text, templates, wholes)
     known = files.join(own.withColumnsRenamed({"license": "own_license", "score": "own_score"}), files[key].eqNullSafe(own["_key"]), "left").drop("_key")
     known = known.withColumn("_dir", parent(F.col(path)))
     holders = (
@@ -159,7 +277,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
 
 
 def oracle(files_sql: str, key: str = "doc_id", templates: Templates = Templates()) -> str:
-    """The same scan as DuckDB SQL over ``files_sql`` (columns key, path, text)."""
+    """The scan of single lines as DuckDB SQL over ``files_sql`` (columns key, path, text); no headers, texts or tags."""
     rows = ", ".join(f"({i}, '{name}', '{t}', {w!r}::DOUBLE, {idf!r}::DOUBLE)" for i, name, t, w, idf in templates.weights())
     return f"""
 WITH files AS ({files_sql}), weights(number, license, token, weight, idf) AS (VALUES {rows}),

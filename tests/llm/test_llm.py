@@ -404,3 +404,25 @@ def test_mixing(spark):
     again = mixing.mix(corpus(spark, texts, sources=sources).repartition(7)).collect()
     assert sorted((x["doc_id"], x["taken"]) for x in got) == sorted((x["doc_id"], x["taken"]) for x in again)
     assert mixing.mix(corpus(spark, texts).limit(0)).count() == 0
+
+
+def test_licenses_as_wholes(spark):
+    """Licence files under their own holder, headers and titles that wrap, SPDX tags; prose about licences is none."""
+    texts = licenses.read_texts()
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n" \
+        "# file, You can obtain one at http://mozilla.org/MPL/2.0/.\nimport os\nprint(os.name)"
+    gpl = "/*\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n" \
+        " * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n */\nint main() { return 0; }"
+    want = [(f"Copyright 2020 Ann Example\n\n{body}", name) for name, body in texts.items()]
+    # A whole text of one line, and one that has lost its title, are known by their words.
+    want += [(" ".join(texts["MIT"].split()), "MIT"), ("\n".join(texts["GPL-3.0"].splitlines()[8:]), "GPL-3.0")]
+    want += [
+        ("MIT License", "MIT"), ("x\ny\n    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\nz", "GPL-3.0"),
+        ("Mozilla Public License Version 2.0", "MPL-2.0"), ("Apache License", "Apache-2.0"), (mpl, "MPL-2.0"), (gpl, "GPL-2.0"),
+        ("// SPDX-License-Identifier: MIT\ncode", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later\ncode", "GPL-2.0"),
+        ("The permission to drive is a licence that most adults hold.\nIts terms differ.", None), ("mit dem Zug", None), (None, None),
+    ]
+    d = spark.createDataFrame([(i, f"{i}/LICENSE", t) for i, (t, _) in enumerate(want)] + [(900, "9/src/a.py", "code")], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(d).collect()}
+    assert [got[i] for i in range(len(want))] == [name for _, name in want]
+    assert got[900] == got[9]
