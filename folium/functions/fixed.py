@@ -114,6 +114,12 @@ TITLE_LABELS = [
     r"^\s*([A-Z][A-Za-z0-9\s'\":]+)(?:\n\s*|\s+)(?:by|di|BY|DI)\s+([A-Z][A-Za-z\s.]+)",
     r"^\s*([A-Z][A-Z0-9\s'\":]{10,50})\s*$",
 ]
+TITLE_AUTHORS = [
+    r"^\s*([A-Z][A-Za-z0-9\s'\":,-]+)(?:\n\s*)(?:by|di|BY|DI|by:)\s+([A-Z][A-Za-z\s.,-]+)",
+    r"^\s*([A-Z][A-Za-z0-9\s'\":,-]+)(?:\s+)(?:by|di|BY|DI|by:)\s+([A-Z][A-Za-z\s.,-]+)",
+    r"^\s*([A-Z][A-Za-z0-9\s'\":,-]+)\n\s*(?:by|di|BY|DI|by:)\s+([A-Z][A-Za-z\s.,-]+)",
+    r"^\s*([A-Z][A-Za-z0-9\s'\":,-]{10,100})\n\s*([A-Z][A-Za-z\s.,-]{5,50})$",
+]
 AUTHORS = [
     r"^(?:AUTHOR|Author|BY|By|PREPARED BY|Prepared by):\s*(.*?)$",
     r"^(?:AUTHORS|Authors):\s*(.*?)$",

@@ -28,14 +28,18 @@ def lines(text: Column, count: int) -> Column:
 
 def title(text: Column | str, existing: Column | None = None, pdf_title: Column | None = None, html: Column | None = None,
           path: Column | None = None) -> Column:
-    """Existing title, embedded title, page heading, labels, a line in capitals, a significant line, the file name."""
+    """Existing title, embedded title, page heading, labels, a title above or before its author, a line in capitals, a significant line, the file name."""
     body = col(text)
     none = F.lit(None).cast("string")
     given = existing if existing is not None else none
     sound = F.when((F.char_length(given) > 3) & (F.char_length(given) < 200) & ~F.lower(given).isin(*GENERIC_TITLES), given)
     source = html if html is not None else body
     heading = F.coalesce(found(source, r"(?is)<title[^>]*>(.*?)</title>"), found(source, r"(?is)<h1[^>]*>(.*?)</h1>"))
-    labels = F.coalesce(*[found(F.substring(body, 1, 3000), "(?m)" + p) for p in fixed.TITLE_LABELS])
+    listed = [found(F.substring(body, 1, 3000), "(?m)" + p) for p in fixed.TITLE_LABELS]
+    # Three patterns are labels proper: they come before a title that is known by its author.
+    labels, structures = F.coalesce(*listed[:3]), F.coalesce(*listed[3:])
+    fits = lambda t: F.when((F.char_length(t) > 5) & (F.char_length(t) < 200), strip(F.regexp_replace(t, r"[.,;:]+$", "")))
+    by_author = F.coalesce(*[let(found(F.substring(body, 1, 2000), "(?m)" + p), fits) for p in fixed.TITLE_AUTHORS])
     first_of = lambda xs, test: F.get(F.filter(xs, test), F.lit(0))
     from_lines = let(lines(body, 15), lambda top: F.coalesce(
         F.initcap(first_of(top, lambda x: F.char_length(x).between(10, 100) & F.regexp_like(x, F.lit(r"\p{L}")) & (F.upper(x) == x))),
@@ -44,7 +48,7 @@ def title(text: Column | str, existing: Column | None = None, pdf_title: Column
     ))
     place = path if path is not None else none
     stem = F.nullif(F.initcap(F.regexp_replace(F.regexp_extract(place, r"([^/]*?)(?:\.[^./]*)?$", 1), r"[_\-]+", " ")), F.lit(""))
-    return F.coalesce(sound, pdf_title if pdf_title is not None else none, heading, labels, from_lines, stem, F.lit("Unnamed Document"))
+    return F.coalesce(sound, pdf_title if pdf_title is not None else none, heading, labels, by_author, structures, from_lines, stem, F.lit("Unnamed Document"))
 
 
 def author(text: Column | str, pdf_author: Column | None = None, path: Column | None = None) -> Column:
@@ -52,7 +56,8 @@ def author(text: Column | str, pdf_author: Column | None = None, path: Column |
     body = F.substring(col(text), 1, 10000)
     none = F.lit(None).cast("string")
     named = F.get(F.filter(lines(body, 5), lambda x: F.regexp_like(x, F.lit(r"^[A-Z][a-z]+ [A-Z][a-z]+")) & (F.char_length(x) < 60)), F.lit(0))
-    patterns = F.coalesce(*[found(body, "(?m)" + p) for p in fixed.AUTHORS[:4]])
+    fits = lambda a: F.when((F.char_length(a) > 2) & (F.char_length(a) < 100), a)
+    patterns = F.coalesce(*[let(found(body, "(?m)" + p), fits) for p in fixed.AUTHORS])
     labelled = found(F.array_join(lines(body, 30), "\n"), r"(?im)^(?:author|written by|by)\s*[:\-]?\s+([A-Z][^\n]{2,60})$")
     stem = found(path if path is not None else none, r"([A-Z][a-z]+ [A-Z][a-z]+)(?: - [^/]*)?\.[A-Za-z]+$")
     return F.coalesce(pdf_author if pdf_author is not None else none, named, patterns, labelled, stem)
@@ -97,11 +102,21 @@ def isbn(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(labelled, loose), r"[\-\s]", "")
 
 
+# In the inventory's order; what follows the last comment of a list is of our own.
 EDITIONS = [
-    r"(?i)\b(\d+(?:st|nd|rd|th)\s+edition)\b", r"(?i)\b((?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\s+edition)\b",
-    r"(?i)\b(edition\s+\d+)\b", r"(?i)\b(revised\s+edition)\b", r"(?i)\b(version\s+\d+(?:\.\d+)*)\b", r"(?i)\b(\d+[aª°]\s+edizione)\b",
+    r"(?i)(\d+(?:st|nd|rd|th)?\s+edition)", r"(?i)(edition:?\s*\d+(?:st|nd|rd|th)?)", r"(?i)(version\s*\d+\.\d+)", r"(?i)(v\.\s*\d+\.\d+)",
+    r"(?i)(revised\s+edition)", r"(?i)(updated\s+edition)", r"(?i)(first\s+edition)", r"(?i)(second\s+edition)", r"(?i)(third\s+edition)",
+    r"(?i)(fourth\s+edition)", r"(?i)(fifth\s+edition)",
+    # Later ordinals, whole versions, Italian.
+    r"(?i)\b((?:sixth|seventh|eighth|ninth|tenth)\s+edition)\b", r"(?i)\b(version\s+\d+)\b", r"(?i)\b(\d+[aª°]\s+edizione)\b",
+]
+SERIES = [
+    # The third begins where a clause does: the same first match without trying every later start.
+    r"(?i)(?:series|collection):\s*([^.,\n]+)", r"(?i)part\s+of\s+the\s+([^.,\n]+)\s+series",
+    r"(?i)(?:^|[.,\n])([^.,\n]+)\s+series,?\s+(?:volume|book|part|vol\.)\s+\d+", r"(?i)vol\.\s+\d+\s+of\s+([^.,\n]+)",
+    # Parts and books of a series, a series by its article.
+    r"(?i)\b(?:part|volume|book)\s+\d+\s+of\s+(?:the\s+)?(.+?)(?:\n|\.|$)", r"(?i)\bthe\s+(.+?)\s+series\b",
 ]
-SERIES = [r"(?im)^series:\s*(.+?)$", r"(?i)\b(?:part|volume|book)\s+\d+\s+of\s+(?:the\s+)?(.+?)(?:\n|\.|$)", r"(?i)\bthe\s+(.+?)\s+series\b"]
 
 
 def edition(text: Column | str) -> Column:

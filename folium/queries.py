@@ -158,7 +158,14 @@ def chain_sql(patterns: list[str], source: str = "substring(text, 1, 10000)") ->
 ISBN_SQL = chain_sql([r"(?i)ISBN(?:-1[03])?:?\s*([\d][\d\-]{8,16}[\dXx])", r"(?:^|[^\d\-])(\d[\d\-]{8,15}[\dXx])(?:[^\d\-]|$)"])
 
 
-@query(f"SELECT doc_id, {chain_sql(metadata.EDITIONS)} AS edition, regexp_replace({ISBN_SQL}, '[\\-\\s]', '', 'g') AS isbn FROM documents")
+# Written out, so that the SQL does not follow the code.
+EDITIONS_SQL = chain_sql([
+    r"(?i)\b(\d+(?:st|nd|rd|th)\s+edition)\b", r"(?i)\b((?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\s+edition)\b",
+    r"(?i)\b(edition\s+\d+)\b", r"(?i)\b(revised\s+edition)\b", r"(?i)\b(version\s+\d+(?:\.\d+)*)\b", r"(?i)\b(\d+[aª°]\s+edizione)\b",
+])
+
+
+@query(f"SELECT doc_id, {EDITIONS_SQL} AS edition, regexp_replace({ISBN_SQL}, '[\\-\\s]', '', 'g') AS isbn FROM documents")
 def edition_isbn(spark, sf):
     return docs(spark, sf).select("doc_id", metadata.edition("text").alias("edition"), metadata.isbn("text").alias("isbn"))
 

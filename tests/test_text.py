@@ -121,3 +121,22 @@ def test_metadata(spark):
     assert one(spark, metadata.language("x"), "kurz") is None
     empty = one(spark, metadata.extract_metadata("x", F.lit("2020-01-01").cast("date")), "")
     assert empty["title"] == "Unnamed Document" and empty["author"] is None
+
+
+def test_editions_series_titles_authors(spark):
+    """Every listed pattern, in order."""
+    from folium.functions import metadata
+
+    editions = {"see v. 2.1 now": "v. 2.1", "an Updated Edition": "Updated Edition", "Edition: 3": "Edition: 3", "the 3 edition": "3 edition", "version2.5": "version2.5",
+                "version 3.": "version 3", "fifth edition": "fifth edition", "seventh edition": "seventh edition", "version 2.0, 4th edition": "4th edition", "none": None}
+    series = {"Collection: Old Maps, more": "Old Maps", "It is. The Dark Sea series, volume 3": "Dark Sea", "vol. 2 of the Long War, here": "Long War",
+              "part of the Big Idea series": "Big Idea", "none": None}
+    for column, cases in ((metadata.edition("t"), editions), (metadata.series("t"), series)):
+        rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", column.alias("x")).collect()
+        assert {r["t"]: r["x"] for r in rows} == cases
+    row = spark.createDataFrame([("on rivers:\nMaria Luisa Rossi\nand so on, 2 of 3.",)], "t string").select(metadata.author("t").alias("a")).first()
+    assert row["a"] == "Maria Luisa Rossi"
+    row = spark.createDataFrame([("12) x\n5) y\n\n   J. R. Roe\n12 rivers",)], "t string").select(metadata.author("t").alias("a")).first()
+    assert row["a"] == "J. R. Roe"
+    row = spark.createDataFrame([("x1\nA History of Small Rivers:\n by Jane Roe\nmore (text)",)], "t string").select(metadata.title("t").alias("a")).first()
+    assert row["a"] == "A History of Small Rivers"
