@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from folium.functions import fixed
-from folium.functions.text import col
+from folium.functions.text import col, let
+from folium.session import materialize
 
+#: Corrections that are broadcast: up to this many.
+BROADCAST_WORDS = 200_000
 LETTERS = "a-zA-ZàèéìòùÀÈÉÌÒÙáíóúÁÍÓÚ"
 
 
@@ -88,16 +91,19 @@ def restore_case(original: Column, corrected: Column) -> Column:
 def correct_documents(documents: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 2,
                       prefer: str = "frequency") -> DataFrame:
     """key, original_text, text, correction_count, correction_percentage."""
-    rows = documents.select(F.col(key).alias("_key"), F.posexplode(tokens(text)).alias("at", "token")).withColumn(
-        "word", F.when(eligible("token"), F.lower("token"))
-    )
-    fixes = corrections(rows.where("word IS NOT NULL"), dictionary, distance, prefer)
-    joined = rows.join(fixes, "word", "left").withColumn("token", F.coalesce(restore_case(F.col("token"), F.col("correction")), F.col("token")))
-    back = joined.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), "").alias("_new"))
-    whole = documents.join(back, documents[key].eqNullSafe(back["_key"]), "left").withColumn("original_text", F.col(text))
-    new = F.coalesce("_new", text)
-    return whole.select(key, "original_text", new.alias("text"), difference(F.col("original_text"), new)["count"].alias("correction_count"),
-                        difference(F.col("original_text"), new)["percent"].alias("correction_percentage"))
+    # Texts are named by a hash: a word has one correction wherever it stands, so texts that share one lose nothing.
+    name = F.xxhash64(F.col(text))
+    words = F.array_distinct(F.transform(F.filter(tokens(text), lambda w: eligible(w)), F.lower))
+    rows = documents.select(name.alias("_name"), F.explode(words).alias("word"))
+    fixes = materialize(corrections(rows, dictionary, distance, prefer))
+    side = F.broadcast(fixes) if fixes.count() <= BROADCAST_WORDS else fixes
+    of_text = rows.join(side, "word").groupBy("_name").agg(F.collect_set(F.struct("word", "correction")).alias("_fixes"))
+    fix_of = lambda t: F.get(F.filter("_fixes", lambda f: f["word"] == F.lower(t)), F.lit(0))["correction"]
+    fixed_token = lambda t: F.when(eligible(t), let(fix_of(t), lambda c: F.coalesce(restore_case(t, c), t))).otherwise(t)
+    new = F.when(F.col("_fixes").isNull(), F.col(text)).otherwise(F.array_join(F.transform(tokens(text), fixed_token), ""))
+    whole = documents.withColumn("_name", name).join(of_text, "_name", "left").select(key, F.col(text).alias("original_text"), new.alias("_new"))
+    change = whole.withColumn("_d", difference(F.col("original_text"), F.col("_new")))
+    return change.select(key, "original_text", F.col("_new").alias("text"), F.col("_d.count").alias("correction_count"), F.col("_d.percent").alias("correction_percentage"))
 
 
 def difference(a: Column, b: Column) -> Column:

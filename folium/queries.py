@@ -560,12 +560,19 @@ def vocabulary_corrections(spark, sf):
     return spelling.corrections(split(table(spark, sf, "benchmark")), dictionary, 1)
 
 
+@query()
+def document_corrections(spark, sf):
+    """Corrections of the documents' own rare words, up to two edits away (levenshtein of all pairs is too slow in SQL)."""
+    words = docs(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"([{spelling.LETTERS}]+)"), F.lit(1))).alias("term")).where("char_length(term) >= 4")
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
+    return spelling.corrections(counted.select(F.col("term").alias("word")), counted.where("frequency >= 40"))
+
+
 @query()
 def corrected_documents(spark, sf):
     words = docs(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"([{spelling.LETTERS}]+)"), F.lit(1))).alias("term"))
     dictionary = words.groupBy("term").agg(F.count(F.lit(1)).alias("frequency")).where("frequency >= 40 AND char_length(term) >= 4")
-    given = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return spelling.correct_documents(given, dictionary, distance=1).select("doc_id", "text", "correction_count")
+    return spelling.correct_documents(docs(spark, sf), dictionary).select("doc_id", "text", "correction_count")
 
 
 # --- logs and statistics ------------------------------------------------------------------------

@@ -142,3 +142,32 @@ def test_summary(spark):
     assert summary.directory_summary(none).first()["success_rate"] == 0.0
     some = spark.createDataFrame([(True,)] * 22 + [(False,)] * 2, "success boolean")
     assert summary.directory_summary(some).first()["success_rate"] == 91.67
+
+
+def test_documents_are_corrected_two_edits_away(spark, tmp_path):
+    """Both spelling queries over whole documents, against all pairs of words."""
+    from folium import queries
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    common = ["garden", "window", "mountain", "harbour"]
+    odd = ["gardne", "wndw", "muontain", "harb", "grdn", "mountains", "zebra", "garden"]
+    texts = [" ".join(common)] * 40 + [f"the {w} and {w.upper()}; then" for w in odd] + [" ".join(odd) + " window" * 3, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    frequency = {w: sum((t or "").lower().split().count(w) for t in texts) for w in common}
+
+    def best(w):
+        near = [(-frequency[c], edits(w, c), c) for c in common if edits(w, c) <= 2]
+        return w if w in common or not near else min(near)[2]
+
+    want = {i: t and " ".join(best(x) for x in t.split()) for i, t in enumerate(texts) if i < 40 or i >= 48}
+    want |= {40 + i: f"the {best(w)} and {best(w).upper()}; then" for i, w in enumerate(odd)}
+    assert {r["doc_id"]: r["text"] for r in queries.corrected_documents(spark, str(tmp_path)).collect()} == want
+    pairs = {tuple(r) for r in queries.document_corrections(spark, str(tmp_path)).collect()}
+    assert pairs == {(w, best(w)) for w in odd if best(w) != w}
