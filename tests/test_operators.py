@@ -171,3 +171,11 @@ def test_documents_are_corrected_two_edits_away(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in queries.corrected_documents(spark, str(tmp_path)).collect()} == want
     pairs = {tuple(r) for r in queries.document_corrections(spark, str(tmp_path)).collect()}
     assert pairs == {(w, best(w)) for w in odd if best(w) != w}
+
+
+def test_every_assertion_is_checked(spark):
+    from folium.plans import rag
+
+    answers = spark.createDataFrame([(1, "the answer")], "query_id long, response string")
+    tests = spark.range(10_001).select(F.lit("contains-any").alias("type"), F.array(F.lit("answer")).alias("value"))
+    assert rag.evaluate(answers, tests).where("passed").count() == 10_001
