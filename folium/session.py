@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``materialize`` for what a loop carries on: the planner's guess of its size is forgotten as well.
+
+    A checkpoint keeps the guess, a join multiplies those of its sides, and over a few rounds they grow
+    to numbers of so many digits that planning never ends.  Spark's own entry for rows that are there
+    already makes a table without a guess; where it is missing, the checkpoint is used as it is.
+    """
+    done = materialize(df)
+    spark = done.sparkSession
+    try:
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+    except (AttributeError, TypeError):
+        return done
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name that the driver and all executors share, beside the checkpoints."""
     ensure_checkpoint_dir(spark)
@@ -60,3 +79,27 @@ def ship(spark: SparkSession) -> None:
             bundle.write(source, Path(root.name) / source.relative_to(root))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def tidy() -> None:
+    """Give what this Python process no longer needs back to the system: idle workers keep their memory else."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function for mapInPandas whose worker gives its memory back when a partition ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
