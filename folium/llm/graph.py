@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from folium.session import materialize
+from folium.session import settled
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -19,9 +19,9 @@ def _signature(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """``a, b`` (64-bit nodes) -> ``node, root``: the least node reachable, for nodes on some edge.
 
-    Loops, repeated and reversed edges are allowed.
+    Loops, repeated and reversed edges are allowed; edges with a null end are ignored.
     """
-    state = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    state = settled(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = _signature(state)
     while known[0]:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,10 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
-        state = materialize(small)
+        state = settled(small)
         now = _signature(state)
         if now == known:
             break
         known = now
     roots = state.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return roots.unionByName(state.select(F.col("a").alias("node"), F.col("a").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    rooted = roots.unionByName(state.select(F.col("a").alias("node"), F.col("a").alias("root"))).groupBy("node")
+    return settled(rooted.agg(F.min("root").alias("root")))

@@ -109,8 +109,9 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, p: MixParams) -> DataFr
             .select(F.col("o.source").alias("source"), F.col("h.n").alias("n"), F.col("h.size").alias("size"), x.alias("x"), share.alias("q"))
             .groupBy("source")
             .agg(
-                F.sum(F.col("n") * F.col("size") * F.col("q")).alias("taken_share"),
-                F.sum(F.col("n") * F.col("size") * F.col("x") * F.col("q") * (1 - F.col("q"))).alias("slope"),
+                # Decimals, so that sums in another order come to the same double.
+                F.sum((F.col("n") * F.col("size") * F.col("q")).cast("decimal(28,12)")).cast("double").alias("taken_share"),
+                F.sum((F.col("n") * F.col("size") * F.col("x") * F.col("q") * (1 - F.col("q"))).cast("decimal(28,12)")).cast("double").alias("slope"),
             )
         )
         gap = F.col("taken_share") * F.lit(p.max_copies) - F.col("target")
@@ -219,12 +220,16 @@ def copies_by_key(mixed: DataFrame) -> DataFrame:
 
 
 def expand(documents: DataFrame, copies: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: every row repeated as often as ``copies_by_key`` says, whatever other rows share its key."""
-    marked = documents.withColumn("_digest", row_digest(F.col(source), F.col(text)))
-    joined = marked.join(copies, marked[key].eqNullSafe(copies["_key"]) & (marked["_digest"] == copies["_row"]))
-    even = joined.where("_more = 0").withColumn("_copies", F.col("_least"))
+    """The mix itself: every row repeated as often as ``copies_by_key`` says, whatever other rows share its key.
+
+    Rows travel as one struct, so other columns may have any names.
+    """
+    marked = documents.select(F.struct("*").alias("row"), F.col(key).alias("key"), row_digest(F.col(source), F.col(text)).alias("digest"))
+    joined = marked.join(copies, marked["key"].eqNullSafe(copies["_key"]) & (marked["digest"] == copies["_row"]))
+    even = joined.where("_more = 0").select("row", F.col("_least").alias("copies"))
     # Only rows alike in key, source and text are told apart by a rank: without such rows nothing is sorted.
-    rank = F.row_number().over(Window.partitionBy("_key", "_row").orderBy("_least"))
-    uneven = joined.where("_more > 0").withColumn("_copies", F.col("_least") + (rank <= F.col("_more")).cast("long"))
-    taken = even if copies.where("_more > 0").isEmpty() else even.unionByName(uneven.where("_copies > 0"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    rank = F.row_number().over(Window.partitionBy("_key", "_row").orderBy(F.to_json("row")))
+    uneven = joined.where("_more > 0").select("row", (F.col("_least") + (rank <= F.col("_more")).cast("long")).alias("copies"))
+    taken = even if copies.where("_more > 0").isEmpty() else even.unionByName(uneven.where("copies > 0"))
+    # A copy more is a row more: lists of copies are not built around the texts.
+    return taken.select(F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("copy"), "row").select("row.*")

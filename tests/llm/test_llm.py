@@ -426,3 +426,27 @@ def test_licenses_as_wholes(spark):
     got = {r["doc_id"]: r["license"] for r in licenses.scan(d).collect()}
     assert [got[i] for i in range(len(want))] == [name for _, name in want]
     assert got[900] == got[9]
+
+
+def test_jaccard_regions_recurse(spark, monkeypatch):
+    """Regions far above their bound, a shingle spread thinly over every stretch, entries in many small flushes."""
+    monkeypatch.setattr(jaccard, "REGION", 16)
+    monkeypatch.setattr(jaccard, "OVERSIZE", 12)
+    monkeypatch.setattr(jaccard, "FLUSH", 300)
+    monkeypatch.setattr(jaccard, "COUNTED", 200)
+    r = random.Random(11)
+    core = words(40, 500).split()
+    texts = []
+    for i in range(70):  # a cluster whose members lie on both sides of the threshold
+        w = list(core)
+        for _ in range(i % 6):
+            w[r.randrange(len(w))] = r.choice(["new", "other", "word"])
+        texts.append(" ".join(w[: 40 - i % 9]))
+    thin = words(12, 501).split()
+    texts += [" ".join(thin + words(4 + i % 3, 600 + i).split()) for i in range(40)]
+    texts += [words(30, 700 + i) for i in range(30)]
+    r.shuffle(texts)
+    ids = list(range(len(texts)))
+    d = corpus(spark, texts, ids).repartition(9)
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.join_components(d).collect())
+    assert got == brute_components(texts, ids)
