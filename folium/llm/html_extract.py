@@ -7,9 +7,9 @@ of its smoothed chance to stand inside that content, so ``<p>`` costs next to no
 markup ends a stretch.  Tags are told apart by name and by whether their class, id or role names
 page furniture (``div`` and ``div!``).
 
-The stretch found is then made exact: widened or narrowed to the ``<article>`` or ``<main>`` that
-holds most of it, if there is one, cut to whole blocks, and cleared of blocks inside furniture
-(navigation, forms, adverts, notices, reader comments, scripts ...).
+Furniture (navigation, forms, adverts, notices, reader comments, scripts ...) is one event, its
+opening tag; what it holds is never content.  The stretch found is the result, widened to whole
+blocks only: no element is snapped to, and a page without ``<article>`` is read as any other.
 
 Fitting uses at most ``SAMPLE`` pages, the first by a hash of their key; extraction is a map over
 all pages, whatever their size.
@@ -69,6 +69,7 @@ FURNITURE_WORDS = frozenset({
     "pagination", "pager", "masthead", "skip", "search", "contentinfo", "complementary", "alert", "legal", "copyright", "tags", "teaser",
     "topbar", "outbrain", "taboola", "hidden",
 })
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 CLOSES_P = frozenset({
     "p", "div", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "aside", "header", "footer",
     "nav", "form", "blockquote", "pre", "figure", "main", "address", "fieldset", "hr", "details",
@@ -79,11 +80,13 @@ def tag_key(name: str, flagged: bool) -> str:
     return (name if name in KNOWN else "other") + ("!" if flagged else "")
 
 
-def _flagged(attributes: str) -> bool:
-    """Whether the attributes name page furniture or hide the element."""
+def _flagged(element: str, attributes: str, labelled: bool) -> bool:
+    """Whether the attributes name page furniture or hide the element; the id of an article's section is its subject."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = value.strip("\"'")
+        if name == "id" and labelled and element == "section":
+            continue
         if name in ("class", "id", "role") and any(w.lower() in FURNITURE_WORDS for w in _NAME.findall(value)):
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -94,34 +97,37 @@ def _flagged(attributes: str) -> bool:
 
 
 class Page:
-    """Events of one page: words with their block, tags, and the containers they stand in."""
+    """Events of one page: stretches of words with their block, and tags.
+
+    What lies inside furniture is left out; furniture as a whole is the one event of its opening tag.
+    """
 
     def __init__(self, source: str | None):
         #: (None, text) or (tag key, "").
         self.events: list[tuple[str | None, str]] = []
         self.block: list[int] = []  # of each event
-        self.kept: list[bool] = []  # not inside furniture
-        self.container: list[int] = []  # number of the article or main around it, or -1
+        self.labelled: list[bool] = []  # inside an article or main
         self.containers = 0
         self._read(source or "")
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, bool, bool]] = []  # name, furniture, container
-        block, furniture, around = 0, 0, []
-        at = 0
+        blocks: list[int] = []  # places in the stack of elements that are not inline
+        count: Counter = Counter()  # open elements by name
+        block = furniture = around = at = 0
 
         def text(part: str) -> None:
-            if part and not part.isspace():
-                self._add(None, html_lib.unescape(part), block, not furniture, around[-1] if around else -1)
-            elif part:
-                self._add(None, " ", block, not furniture, around[-1] if around else -1)
+            if part and not furniture:
+                self._add(None, " " if part.isspace() else html_lib.unescape(part), block, around > 0)
 
         def pop() -> None:
-            nonlocal furniture
-            _, bad, holds = stack.pop()
+            nonlocal furniture, around
+            name, bad, holds = stack.pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            count[name] -= 1
             furniture -= bad
-            if holds:
-                around.pop()
+            around -= holds
 
         while True:
             m = _TAG.search(source, at)
@@ -134,107 +140,83 @@ class Page:
             if not name:
                 continue
             name = name.lower()
-            closing = bool(m[1] or m[4])
             attributes = m[3] or m[6] or ""
             if name not in INLINE:
                 block += 1
-            if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                flagged = depth is not None and stack[depth][1] and name not in FURNITURE
-                inside = around[-1] if around else -1
-                if depth is not None:
-                    while len(stack) > depth:
+            if m[1] or m[4]:  # a closing tag
+                outside, flagged = not furniture, False
+                if count[name]:
+                    while stack[-1][0] != name:
                         pop()
-                self._add(tag_key(name, flagged), "", block, not furniture, inside)
+                    flagged = stack[-1][1]
+                    pop()
+                if outside and not flagged:
+                    self._add(tag_key(name, False), "", block, around > 0)
                 continue
-            if name in CLOSES_P and stack and any(s[0] == "p" for s in stack):
-                depth = max(i for i, s in enumerate(stack) if s[0] == "p")
-                if all(s[0] in INLINE or s[0] == "p" for s in stack[depth:]):
-                    while len(stack) > depth:
-                        pop()
+            if name in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+                depth = blocks[-1]
+                while len(stack) > depth:
+                    pop()
             elif name == "li" and stack and stack[-1][0] == "li":
                 pop()
             elif name == "body":
                 while stack and stack[-1][0] != "html":
                     pop()
-            flagged = name not in ("html", "body", "article", "main", "p") and _flagged(attributes)
+            flagged = name not in ("html", "body", "article", "main", "p") and name not in HEADINGS and _flagged(name, attributes, around > 0)
             bad = name in FURNITURE or flagged or (name == "header" and not around)
             holds = name in ("article", "main") and not furniture
+            if not furniture:
+                if name == "br" or name == "img":
+                    text(" ")
+                self._add(tag_key(name, flagged), "", block, around > 0)
             if holds:
-                around.append(self.containers)
                 self.containers += 1
             if name not in VOID and not attributes.rstrip().endswith("/"):
-                stack.append((name, bool(bad), holds))
-                furniture += bool(bad)
-            elif holds:
-                around.pop()
-            if name == "br" or name == "img":
-                text(" ")
-            self._add(tag_key(name, flagged), "", block, not furniture, around[-1] if around else -1)
+                if name not in INLINE:
+                    blocks.append(len(stack))
+                stack.append((name, bad, holds))
+                count[name] += 1
+                furniture += bad
+                around += holds
             if name in RAW:
                 end = re.compile(rf"</{name}\b", re.I).search(source, at)
                 at = end.start() if end else len(source)
 
-    def _add(self, tag: str | None, text: str, block: int, kept: bool, container: int) -> None:
+    def _add(self, tag: str | None, text: str, block: int, labelled: bool) -> None:
         self.events.append((tag, text))
         self.block.append(block)
-        self.kept.append(kept)
-        self.container.append(container)
-
-    # --- the scan ---
+        self.labelled.append(labelled)
 
     def best_stretch(self, weights: dict[str, float]) -> tuple[int, int]:
-        """First and last + 1 event of the maximum-scoring stretch; (0, 0) if none is positive."""
+        """First and last + 1 event of the maximum-scoring stretch, the first of equal ones; (0, 0) if none is positive."""
         best, span, total, start = 0.0, (0, 0), 0.0, 0
         for i, (tag, text) in enumerate(self.events):
             if total <= 0:
                 total, start = 0.0, i
-            if tag is not None:
-                total += weights.get(tag, weights["other"])
-            elif self.kept[i]:  # words of furniture are never content and earn nothing
-                total += len(text.split())
+            total += len(text.split()) if tag is None else weights.get(tag, weights["other"])
             if total > best:
                 best, span = total, (start, i + 1)
         return span
 
-    def words(self, i: int) -> int:
-        return 0 if self.events[i][0] is not None else len(self.events[i][1].split())
-
     def main_text(self, weights: dict[str, float]) -> str:
+        """The blocks that the maximum-scoring stretch touches, each whole."""
         first, last = self.best_stretch(weights)
-        if last <= first:
-            return ""
-        inside = Counter()
-        for i in range(first, last):
-            inside[self.container[i]] += self.words(i)
-        chosen = {b for b, tag in zip(self.block[first:last], self.events[first:last], strict=True) if tag[0] is None}
-        main = max((c for c in inside if c >= 0), key=lambda c: (inside[c], -c), default=-1)
-        if main >= 0 and 2 * inside[main] >= sum(inside.values()):
-            # All of the element that holds most of the stretch, with the elements nested in it.
-            member = self._nested(main)
-            pick = [c in member for c in self.container]
-        else:
-            pick = [b in chosen for b in self.block]
+        chosen = {b for b, (tag, _) in zip(self.block[first:last], self.events[first:last], strict=True) if tag is None}
         parts: dict[int, list[str]] = {}
-        for i, (tag, text) in enumerate(self.events):
-            if tag is None and pick[i] and self.kept[i]:
-                parts.setdefault(self.block[i], []).append(text)
+        for (tag, text), b in zip(self.events, self.block, strict=True):
+            if tag is None and b in chosen:
+                parts.setdefault(b, []).append(text)
         blocks = (" ".join("".join(p).split()) for p in parts.values())
         return "\n\n".join(b for b in blocks if b)
 
-    def _nested(self, main: int) -> set[int]:
-        """Containers opened between the first and the last event of ``main``."""
-        at = [i for i, c in enumerate(self.container) if c == main]
-        return set(self.container[at[0] : at[-1] + 1]) - {-1}
-
     def tag_counts(self) -> tuple[Counter, Counter] | None:
         """Tags inside and outside the labelled content; None for a page without one label."""
         if self.containers != 1:
             return None
         inside, outside = Counter(), Counter()
-        for (tag, _), c in zip(self.events, self.container, strict=True):
+        for (tag, _), labelled in zip(self.events, self.labelled, strict=True):
             if tag is not None and tag not in ("article", "main"):
-                (inside if c == 0 else outside)[tag] += 1
+                (inside if labelled else outside)[tag] += 1
         return inside, outside
 
 
@@ -280,7 +262,7 @@ def learn_weights(pages: DataFrame, key: str = "page_id", html: str = "html", sa
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
-    """All columns of ``pages`` plus ``main_text``."""
+    """All columns of ``pages`` plus ``main_text``, which takes the place of an input column of that name."""
     ship(pages.sparkSession)
     learned = weights if weights is not None else learn_weights(pages, key, html)
 

@@ -450,3 +450,30 @@ def test_jaccard_regions_recurse(spark, monkeypatch):
     d = corpus(spark, texts, ids).repartition(9)
     got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.join_components(d).collect())
     assert got == brute_components(texts, ids)
+
+
+def test_html_scan_decides():
+    """No element is snapped to: lists of links around the text are left out by their tags' weights alone."""
+    links_ = "<ul>" + "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(12)) + "</ul>"
+    body = "".join(f"<p>{words(30, i)}</p>" for i in range(5))
+    page = html_extract.Page(f"<html><body><table><tr><td>{links_}</td></tr></table><div><h2 id='discussion'>On legal search</h2>{body}</div><div>{links_}</div></body></html>")
+    weights = html_extract.tag_weights({})
+    want = "\n\n".join(["On legal search", *(words(30, i) for i in range(5))])
+    assert page.main_text(weights) == want
+    assert page.main_text(dict.fromkeys(weights, 1.0)) != want  # without weights that tell, the whole page
+    inside = html_extract.Page(f"<article><h1 class='search'>T</h1><section id='related-work'><p>{words(9, 1)}</p></section><section class='comments'>no</section></article>")
+    assert inside.main_text(weights) == "T\n\n" + words(9, 1)
+
+
+def test_best_stretch_is_best():
+    r = random.Random(6)
+    weights = html_extract.tag_weights({})
+    for _ in range(40):
+        source = "".join(r.choice(["<p>", "<li>", "</li>", "<a>", "</a>", "<div>", "</div>", "<hr>", "word ", "two words "]) for _ in range(30))
+        page = html_extract.Page(source)
+        worth = [len(t.split()) if tag is None else weights[tag] for tag, t in page.events]
+        sums = [(sum(worth[i:j]), -i, -j) for i in range(len(worth)) for j in range(i + 1, len(worth) + 1)]
+        first, last = page.best_stretch(weights)
+        best = max((s for s, _, _ in sums), default=0)
+        assert math.isclose(sum(worth[first:last]), max(best, 0), abs_tol=1e-9)
+    assert html_extract.Page("<div>" * 200_000 + "deep <p>text").main_text(weights) == "deep\n\ntext"
