@@ -7,7 +7,8 @@ all frames of a batch take one step together (a Rice code, then a prediction), b
 one frame can only be read in turn.  Where frames start is known from the seek table, which the
 encoder writes with a point per frame; streams without a full one are read front by front.
 
-Independent channels of 4 to 16 bits are read; joint stereo and wider samples raise ``FlacError``.
+Up to 8 channels of 4 to 24 bits are read, joint stereo included; whatever is wrong with a stream raises
+``FlacError`` (one error row from ``decode_blocks``).
 The encoder writes one channel of signed 8-bit samples in blocks of 1024.
 
 Everything is a map over rows in slices of bounded bytes: no shuffle, so no hot key.
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folium.session import ship
+from folium.session import materialize, released, ship
 
 BLOCK = 1024
 RATE = 8000
@@ -319,6 +320,8 @@ class StreamInfo:
             last, kind = bool(data[at] & 0x80), data[at] & 0x7F
             size = int.from_bytes(data[at + 1 : at + 4], "big")
             block = data[at + 4 : at + 4 + size]
+            if len(block) < size or (kind == 0 and size < 34):
+                raise FlacError("metadata is cut off")
             at += 4 + size
             if kind == 0:
                 self.min_block, self.block = struct.unpack(">HH", block[:4])
@@ -373,6 +376,17 @@ class _Reader:
         return (v ^ half) - half
 
 
+    def many(self, row: int, n: int, bits: int) -> np.ndarray:
+        """The next n signed numbers of one frame."""
+        p = self.p[row] + np.arange(n, dtype=np.int64) * bits
+        self.p[row] += n * bits
+        if self.p[row] >> 3 > len(self.w):
+            raise FlacError("a frame is cut off")
+        value = ((self.w[p >> 3] << (p & 7).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        half = np.int64(1) << np.int64(bits - 1)
+        return (value ^ half) - half
+
+
 def _read_number(data: bytes, at: int) -> int:
     """Where the coded frame number that begins at ``at`` ends."""
     first = data[at]
@@ -388,7 +402,7 @@ def decode_frames(buffer: bytes, starts: np.ndarray, infos: list[StreamInfo]) ->
     """
     data = np.frombuffer(buffer, np.uint8)
     frames = len(starts)
-    length, channels, width, body = (np.zeros(frames, np.int64) for _ in range(4))
+    length, channels, width, body, joint = (np.zeros(frames, np.int64) for _ in range(5))
     for i, s in enumerate(starts.tolist()):
         if s + 5 > len(buffer) or buffer[s] != 0xFF or buffer[s + 1] & 0xFE != 0xF8:
             raise FlacError("no frame sync")
@@ -399,23 +413,29 @@ def decode_frames(buffer: bytes, starts: np.ndarray, infos: list[StreamInfo]) ->
             n, at = buffer[at] + 1, at + 1
         elif code == 7:
             n, at = int.from_bytes(buffer[at : at + 2], "big") + 1, at + 2
+        elif not code:
+            raise FlacError("reserved block size")
         else:
             n = 192 if code == 1 else 576 << (code - 2) if 2 <= code <= 5 else 256 << (code - 8)
         at += {12: 1, 13: 2, 14: 2}.get(rate, 0)
         if crc8(buffer[s:at]) != buffer[at]:
             raise FlacError("header CRC-8 differs")
-        if assignment > 7:
-            raise FlacError("joint stereo is not read")
-        width[i] = {1: 8, 2: 12, 4: 16}.get(size, infos[i].bits)
-        if width[i] > 16:
-            raise FlacError("samples of more than 16 bits are not read")
-        length[i], channels[i], body[i] = n, assignment + 1, at + 1
+        if assignment > 10:
+            raise FlacError("reserved channel assignment")
+        width[i] = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}.get(size, infos[i].bits)
+        if width[i] > 24:
+            raise FlacError("samples of more than 24 bits are not read")
+        length[i], channels[i], body[i], joint[i] = n, 2 if assignment > 7 else assignment + 1, at + 1, max(assignment - 7, 0)
     reader = _Reader(_windows(data), body * 8)
     out: list[list[np.ndarray]] = [[] for _ in range(frames)]
     for channel in range(int(channels.max()) if frames else 0):
         rows = np.flatnonzero(channels > channel)
-        for i, samples in zip(rows, _subframes(reader, rows, length, width), strict=True):
+        # The side channel of left/side (1), side/right (2) and mid/side (3) has one bit more.
+        side = (joint == (2 if channel == 0 else 1)) | ((joint == 3) & (channel == 1))
+        for i, samples in zip(rows, _subframes(reader, rows, length, width + side), strict=True):
             out[i].append(samples)
+    for i in np.flatnonzero(joint).tolist():
+        out[i] = _apart(out[i], int(joint[i]))
     ends = (reader.p + 7) // 8
     if frames:
         if ends.max() + 2 > len(data):
@@ -426,6 +446,26 @@ def decode_frames(buffer: bytes, starts: np.ndarray, infos: list[StreamInfo]) ->
     return [np.stack(c, 1) for c in out], ends + 2
 
 
+def _apart(pair: list[np.ndarray], joint: int) -> list[np.ndarray]:
+    """Left and right of two channels coded together."""
+    a, b = pair
+    if joint == 1:
+        return [a, a - b]
+    if joint == 2:
+        return [a + b, b]
+    mid = (a << 1) | (b & 1)
+    return [(mid + b) >> 1, (mid - b) >> 1]
+
+
+def pcm_bytes(samples: np.ndarray, bits: int) -> bytes:
+    """Little-endian PCM, as many whole bytes a sample as its bits need."""
+    if bits <= 8:
+        return samples.astype("<i1").tobytes()
+    if bits <= 16:
+        return samples.astype("<i2").tobytes()
+    return samples.astype("<i4").view(np.uint8).reshape(*samples.shape, 4)[..., :3].tobytes()
+
+
 def _subframes(reader: _Reader, rows: np.ndarray, length: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
     """One channel of the frames ``rows``; frames are handled longest first so live ones are a prefix."""
     order_of = np.argsort(-length[rows], kind="stable")
@@ -444,8 +484,7 @@ def _subframes(reader: _Reader, rows: np.ndarray, length: np.ndarray, width: np.
     if len(constant):
         out[:, constant] = reader.signed(rows[constant], bits[constant])
     for i in np.flatnonzero(kind == 1):
-        for t in range(int(n[i])):
-            out[t, i] = reader.signed(rows[i : i + 1], bits[i])[0]
+        out[: n[i], i] = reader.many(int(rows[i]), int(n[i]), int(bits[i]))
     fixed, lpc = (kind >= 8) & (kind <= 12), kind >= 32
     if not (fixed | lpc | (kind <= 1)).all():
         raise FlacError("reserved subframe type")
@@ -559,7 +598,17 @@ def _predict(out: np.ndarray, columns: np.ndarray, n: np.ndarray, order: np.ndar
 
 
 def decode_streams(streams: list[bytes]) -> list[tuple[StreamInfo, list[np.ndarray]]]:
-    """Metadata and frames of every stream, all verified (CRC-8, CRC-16, sample count, MD5)."""
+    """Metadata and frames of every stream, all verified (CRC-8, CRC-16, sample count, MD5).
+
+    Whatever is wrong with a stream raises ``FlacError``.
+    """
+    try:
+        return _decoded(streams)
+    except (IndexError, ValueError, OverflowError, struct.error) as e:  # numbers in a damaged stream that lead nowhere
+        raise FlacError(f"damaged: {e}") from e
+
+
+def _decoded(streams: list[bytes]) -> list[tuple[StreamInfo, list[np.ndarray]]]:
     infos = [StreamInfo(s) for s in streams]
     base = np.cumsum([0, *[len(s) for s in streams]])
     buffer = b"".join(streams)
@@ -588,8 +637,7 @@ def decode_streams(streams: list[bytes]) -> list[tuple[StreamInfo, list[np.ndarr
         if sum(len(b) for b in own) != info.samples:
             raise FlacError("sample count differs")
         if any(info.md5):
-            kind = "<i1" if info.bits <= 8 else "<i2"
-            if hashlib.md5(b"".join(b.astype(kind).tobytes() for b in own)).digest() != info.md5:
+            if hashlib.md5(b"".join(pcm_bytes(b, info.bits) for b in own)).digest() != info.md5:
                 raise FlacError("MD5 of the samples differs")
     return list(zip(infos, blocks, strict=True))
 
@@ -631,7 +679,7 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text")
                 })
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return rows.mapInPandas(released(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode_blocks(media: DataFrame, key: str = "doc_id", content: str = "media") -> DataFrame:
@@ -646,11 +694,10 @@ def decode_blocks(media: DataFrame, key: str = "doc_id", content: str = "media")
                 except FlacError as e:
                     yield pd.DataFrame({"doc_id": [doc_id], "block": [None], "sample_offset": [None], "samples": [None], "pcm": [None], "error": [str(e)]})
                     continue
-                kind = "<i1" if info.bits <= 8 else "<i2"
                 lengths = [len(b) for b in blocks]
                 yield pd.DataFrame({
                     "doc_id": doc_id, "block": range(len(blocks)), "sample_offset": np.cumsum([0, *lengths])[:-1], "samples": lengths,
-                    "pcm": [b.astype(kind).tobytes() for b in blocks], "error": None,
+                    "pcm": [pcm_bytes(b, info.bits) for b in blocks], "error": None,
                 })
 
     rows = media.select(F.col(key).alias("doc_id"), F.col(content).alias("media"))
@@ -668,31 +715,36 @@ def features(samples: np.ndarray, blocks: int) -> str:
     )
 
 
-def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text as FLAC, read the stored bytes back, and describe what was read."""
-    ship(documents.sparkSession)
+def read_back(media: DataFrame, key: str = "doc_id", content: str = "media") -> DataFrame:
+    """What ``encode_texts`` stored, decoded from its bytes: payload and stream digests, features."""
+    ship(media.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["body"].tolist()
-            for a, b in slices(texts):
-                media = encode_payloads([payload_of(t) for t in texts[a:b]])
+            streams = [bytes(b) for b in batch["media"]]
+            for a, b in slices(streams):
                 rows = []
-                for t, stream, (_, blocks) in zip(texts[a:b], media, decode_streams(media), strict=True):
+                for stream, (_, blocks) in zip(streams[a:b], decode_streams(streams[a:b]), strict=True):
                     samples = np.concatenate([x[:, 0] for x in blocks])
                     payload = (samples + 128).astype(np.uint8).tobytes()
                     rows.append((
-                        len(t.encode("utf-8", "surrogatepass")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
+                        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
                         len(stream), hashlib.sha256(stream).hexdigest(), features(samples, len(blocks)),
                     ))
-                out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
                 for c in ("payload_sha256", "media_sha256", "feature"):
                     out[c] = out[c].astype(object)
+                out.insert(0, "n_bytes", batch["n_bytes"].iloc[a:b].to_numpy())
                 out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").array)
                 yield out
 
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = media.select(F.col(key).cast("long").alias("doc_id"), "n_bytes", F.col(content).alias("media"))
     return rows.mapInPandas(
-        run,
+        released(run),
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
+
+
+def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Store every text as FLAC in the shared folder, read the stored bytes back, and describe what was read."""
+    return read_back(materialize(encode_texts(documents, key, text)))

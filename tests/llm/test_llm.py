@@ -554,3 +554,53 @@ def test_lm_tells_texts_that_occur_twice(spark):
     shuffled = corpus(spark, [*texts, " ".join(sorted(texts[one].split()))])
     other = {r["doc_id"]: r["score"] for r in lm_score.score(shuffled).collect()}
     assert other[50] < other[one]  # the same words in another order
+
+
+def stereo_stream(left, right, joint, bits):
+    """A FLAC stream of one frame with verbatim subframes, written bit by bit."""
+    side = left - right
+    a, b = {0: (left, right), 8: (left, side), 9: (side, right), 10: ((left + right) >> 1, side)}[joint or 0]
+    widths = {0: (bits, bits), 8: (bits, bits + 1), 9: (bits + 1, bits), 10: (bits, bits + 1)}[joint or 0]
+    n = len(left)
+    head = bytes([0xFF, 0xF8, 0x70, ((joint or 1) << 4) | ({16: 4, 24: 6}[bits] << 1), 0]) + (n - 1).to_bytes(2, "big")
+    head += bytes([flac.crc8(head)])
+    text = "".join("00000010" + "".join(format(int(v) & ((1 << w) - 1), f"0{w}b") for v in x) for x, w in zip((a, b), widths, strict=True))
+    text += "0" * (-len(text) % 8)
+    frame = head + int(text, 2).to_bytes(len(text) // 8, "big")
+    frame += int(flac.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2, "big")
+    pcm = flac.pcm_bytes(np.stack([left, right], 1), bits)
+    packed = (44100 << 44) | (1 << 41) | ((bits - 1) << 36) | n
+    info = n.to_bytes(2, "big") * 2 + bytes(6) + packed.to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + frame
+
+
+def test_flac_reads_joint_stereo_and_wide_samples():
+    r = np.random.RandomState(7)
+    for bits in (16, 24):
+        left, right = (r.randint(-(1 << (bits - 1)), 1 << (bits - 1), 300) for _ in range(2))
+        for joint in (0, 8, 9, 10):
+            (_, (block,)), = flac.decode_streams([stereo_stream(left, right, joint, bits)])
+            assert (block[:, 0] == left).all() and (block[:, 1] == right).all()
+
+
+def test_flac_any_damage_is_an_error(spark):
+    r = random.Random(1)
+    whole = [flac.encode_payloads([flac.payload_of(words(200, 3))])[0], stereo_stream(np.arange(50), np.arange(50)[::-1], 10, 16)]
+    for _ in range(300):
+        hurt = bytearray(r.choice(whole))
+        for _ in range(r.randint(1, 3)):
+            hurt[r.randrange(4, len(hurt))] = r.randrange(256)
+        hurt = bytes(hurt[: r.choice([len(hurt), r.randrange(len(hurt))])])
+        try:
+            flac.decode_streams([hurt])
+        except flac.FlacError:
+            pass
+    with pytest.raises(flac.FlacError):
+        flac.decode_streams([b"fLaC\x80\x00\x00\x04\x00\x00\x00\x00"])
+    d = spark.createDataFrame([(1, bytearray(whole[0])), (2, bytearray(whole[0][:60])), (3, None)], "doc_id long, media binary")
+    got = {r["doc_id"]: r["error"] for r in flac.decode_blocks(d).select("doc_id", "error").distinct().collect()}
+    assert got[1] is None and got[2] and got[3]
+    noise = bytes(r.randrange(256) for _ in range(1 << 18))
+    stream = flac.encode_payloads([noise])[0]
+    (_, blocks), = flac.decode_streams([stream])
+    assert (np.concatenate(blocks)[:, 0] + 128).astype(np.uint8).tobytes() == noise
