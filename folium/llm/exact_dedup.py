@@ -1,19 +1,21 @@
 """Exact deduplication against immutable snapshots, screened by static binary-fuse filters.
 
-A snapshot is a table of digest groups that never changes once written.  Its digests are dealt to
-hash buckets and each bucket gets one binary-fuse filter (8-bit fingerprints, about 9 bits a key).
+A snapshot is a stored table of digest groups that never changes once written (``write_snapshot``).
+Its digests are dealt to hash buckets and each bucket gets one binary-fuse filter (8-bit fingerprints,
+about 9 bits a key), stored beside it; later batches read both and hash nothing of the snapshot again.
 An incoming batch is first grouped by itself, so its own duplicates never touch a snapshot; one
 digest of each group is screened.  Negatives are certainly new.  Positives join the exact bucket
 of the snapshot and the texts of the two representatives are compared byte by byte.
 
 Digest: SHA-256 of the UTF-8 text.  Screening key: its first 8 bytes.
 
-Skew: groups are formed by partial aggregation, filters see distinct digests only, and rows meet
+Skew: groups are formed by partial aggregation, filters see distinct digests only, a filter bucket that
+meets more incoming digests than it holds is met by several copies of its filter, and rows meet
 their group in a plain equi-join that adaptive execution may split; no window or collected group.
 
 Cases: null text counts as empty; rows repeated with the same key and text are one group of which a
 single row stays; the key may be null (it then loses to any other); an empty batch or snapshot is
-fine; other columns are ignored.
+fine; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folium.session import materialize, ship
+from folium.session import materialize, shared_folder, ship
 
 #: Digests a filter bucket is meant to hold; buckets are as many as the snapshot needs.
 BUCKET_KEYS = 20_000
@@ -32,8 +34,6 @@ BUCKET_KEYS = 20_000
 BROADCAST_REPS = 500_000
 
 
-
-
 # --- binary-fuse filter -------------------------------------------------------------------------
 
 
@@ -176,8 +176,45 @@ def build_snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """A stored snapshot: its groups with their buckets, the filter of each bucket, and the texts it was made of."""
+
+    groups: DataFrame
+    filters: DataFrame
+    buckets: int
+    documents: DataFrame
+
+
+def store_snapshot(groups: DataFrame, path: str) -> None:
+    """Write groups (see ``group_rows``) and their filters below ``path``, which must not exist."""
+    buckets = max(1, -(-groups.count() // BUCKET_KEYS))
+    _bucketed(groups, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/groups")
+    stored = groups.sparkSession.read.parquet(f"{path}/groups")
+    build_snapshot_filters(stored, buckets).write.parquet(f"{path}/filters")
+
+
+def open_snapshot(path: str, documents: DataFrame) -> Snapshot:
+    """A stored snapshot; ``documents`` is the table it was made of, read for byte checks only."""
+    spark = documents.sparkSession
+    groups = spark.read.parquet(f"{path}/groups")
+    first = groups.select("buckets").first()
+    return Snapshot(groups, spark.read.parquet(f"{path}/filters"), first["buckets"] if first else 1, documents)
+
+
+def write_snapshot(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Snapshot:
+    """Make a snapshot of a table and store it below ``path``."""
+    ship(documents.sparkSession)
+    rows = digest_rows(documents.withColumns({"part": F.lit(1)}), "part", key, text)
+    store_snapshot(group_rows(rows), path)
+    return open_snapshot(path, documents)
+
+
 def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """Incoming digest groups plus ``maybe_known``; filters and digests meet by bucket."""
+    """Incoming digest groups plus ``maybe_known``; filters and digests meet by bucket and lot.
+
+    A bucket's incoming digests are dealt to lots of about ``BUCKET_KEYS``, each with its copy of the filter.
+    """
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hit = np.zeros(len(left), bool)
@@ -187,73 +224,100 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
             hit = f.contains(left["screen"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame({"digest": left["digest"], "maybe_known": hit})
 
-    keyed = _bucketed(incoming, buckets).select("bucket", "screen", "digest")
-    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest binary, maybe_known boolean")
+    lots = max(1, -(-incoming.count() // (buckets * BUCKET_KEYS)))
+    keyed = _bucketed(incoming, buckets).select("bucket", F.pmod(F.hash("digest"), F.lit(lots)).alias("lot"), "screen", "digest")
+    copies = filters.select("*", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"))
+    return keyed.groupBy("bucket", "lot").cogroup(copies.groupBy("bucket", "lot")).applyInPandas(probe, "digest binary, maybe_known boolean")
 
 
-def same_bytes(documents: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """digest of the pairs whose two representatives hold the same bytes.
+def same_bytes(left: DataFrame, right: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """digest of the pairs whose two representatives, one of each table, hold the same bytes.
 
     ``pairs``: digest, left_id, right_id.  Only representatives' texts are moved.
     """
-    wanted = pairs.select("digest", F.explode(F.array(F.col("left_id"), F.col("right_id"))).alias("_id")).distinct()
-    wanted = materialize(wanted)
-    small = wanted.count() <= BROADCAST_REPS
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    texts = documents.select(F.col(key).alias("_key"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("_digest"))
-    side = F.broadcast(wanted) if small else wanted
-    held = texts.join(side, texts["_key"].eqNullSafe(side["_id"]) & (texts["_digest"] == side["digest"]))
+    def held(documents: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select("digest", F.col(name).alias("id"))
+        body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+        texts = documents.select(F.col(key).alias("key"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"))
+        side = F.broadcast(wanted) if small else wanted
+        return texts.join(side, texts["key"].eqNullSafe(side["id"]) & (texts["sha"] == side["digest"])).select("digest", "body")
+
+    small = pairs.count() <= BROADCAST_REPS
     return (
-        held.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+        held(left, "left_id").unionByName(held(right, "right_id")).groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most"))
         .where(F.col("least") == F.col("most")).select("digest")
     )
 
 
-def dedup_against(incoming: DataFrame, snapshots: list[DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A new batch against earlier snapshots (newest first); see ``dedup``."""
-    columns = [F.col(key), F.col(text)]
-    parts = [d.select(*columns, F.lit(i).alias("_part")) for i, d in enumerate([incoming, *snapshots])]
-    everything = parts[0]
-    for d in parts[1:]:
-        everything = everything.unionByName(d)
-    return dedup(everything, "_part", len(parts), key, text)
+def known_digests(groups: DataFrame, documents: DataFrame, snapshot: Snapshot, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """digest of those groups of ``documents`` whose text the snapshot holds: screened, joined, compared."""
+    maybe = screen(groups.select("digest").distinct(), snapshot.filters, snapshot.buckets).where("maybe_known").select("digest")
+    exact = (
+        maybe.join(groups.groupBy("digest").agg(F.max("keep_id").alias("left_id")), "digest")
+        .join(snapshot.groups.select("digest", F.col("keep_id").alias("right_id")), "digest")
+    )
+    return same_bytes(documents, snapshot.documents, materialize(exact), key, text)
 
 
-def dedup(documents: DataFrame, part: str, parts: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of all parts with the group it belongs to.
-
-    ``part`` is 0 for the incoming batch and 1, 2, ... for ever older snapshots.  Returns doc_id,
-    row, part, digest, length, keep_id, group_size, kept, known (the text is in several parts).
-    """
-    ship(documents.sparkSession)
-    rows = digest_rows(documents, part, key, text)
-    groups = materialize(group_rows(rows))
-    sizes = {r["part"]: r["count"] for r in groups.groupBy("part").count().collect()}
-    known = groups.select("digest").limit(0)
-    for at in range(parts - 1, 0, -1):
-        snapshot = groups.where(F.col("part") == at)
-        buckets = max(1, -(-sizes.get(at, 0) // BUCKET_KEYS))
-        newer = groups.where(F.col("part") < at)
-        filters = build_snapshot_filters(snapshot, buckets)
-        maybe = screen(newer, filters, buckets).where("maybe_known").select("digest").distinct()
-        exact = (
-            maybe.join(newer.groupBy("digest").agg(F.max("keep_id").alias("left_id")), "digest")
-            .join(snapshot.select("digest", F.col("keep_id").alias("right_id")), "digest")
-        )
-        known = known.unionByName(same_bytes(documents, materialize(exact), key, text))
-    known = materialize(known.distinct())
+def _settled_groups(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Groups of all parts, those of one known text merged: digest, group_size, keep_id, keep_part, keep_row, known."""
+    best = F.max(F.struct(F.col("keep_id"), (-F.col("part")).alias("part"), (-F.col("keep_row")).alias("back")))
     # Only groups of several parts are merged; the others are final as their own part formed them.
-    best = F.max(F.struct(F.col("keep_id"), (-F.col("keep_row")).alias("back")))
     merged = (
         groups.join(known, "digest", "left_semi").groupBy("digest")
         .agg(F.sum("n_rows").alias("group_size"), best.alias("best"))
-        .select("digest", "group_size", F.col("best.keep_id").alias("keep_id"), (-F.col("best.back")).alias("keep_row"), F.lit(True).alias("known"))
+        .select("digest", "group_size", F.col("best.keep_id").alias("keep_id"), (-F.col("best.part")).alias("keep_part"),
+                (-F.col("best.back")).alias("keep_row"), F.lit(True).alias("known"))
     )
     alone = groups.join(known, "digest", "left_anti").select(
-        "digest", F.col("n_rows").alias("group_size"), "keep_id", "keep_row", F.lit(False).alias("known")
+        "digest", F.col("n_rows").alias("group_size"), "keep_id", F.col("part").alias("keep_part"), "keep_row", F.lit(False).alias("known")
     )
-    final = materialize(merged.unionByName(alone))
+    return materialize(merged.unionByName(alone))
+
+
+def _told(rows: DataFrame, final: DataFrame) -> DataFrame:
     return rows.join(final, "digest").select(
         "doc_id", "row", "part", "digest", "length", "keep_id", "group_size",
-        (F.col("row") == F.col("keep_row")).alias("kept"), "known",
+        ((F.col("row") == F.col("keep_row")) & (F.col("part") == F.col("keep_part"))).alias("kept"), "known",
     )
+
+
+def dedup_against(incoming: DataFrame, snapshots: list, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of a new batch (part 0), against earlier snapshots; columns as of ``dedup``.
+
+    A snapshot is a ``Snapshot``, or a table, which is stored as one first.  Group sizes and the row that
+    stays are over the batch and all snapshots; what a snapshot stored is not hashed again.
+    """
+    spark = incoming.sparkSession
+    ship(spark)
+    folder = shared_folder(spark)
+    stored = [x if isinstance(x, Snapshot) else write_snapshot(x, f"{folder}/{i}", key, text) for i, x in enumerate(snapshots)]
+    rows = digest_rows(incoming.withColumns({"part": F.lit(0)}), "part", key, text)
+    own = materialize(group_rows(rows))
+    groups, known = own, own.select("digest").limit(0)
+    for at, snapshot in enumerate(stored, 1):
+        found = materialize(known_digests(own, incoming, snapshot, key, text))
+        known = known.unionByName(found)
+        there = snapshot.groups.join(found, "digest", "left_semi").withColumn("part", F.lit(at)).select(*own.columns)
+        groups = groups.unionByName(there)
+    return _told(rows, _settled_groups(groups, materialize(known.distinct())))
+
+
+def dedup(documents: DataFrame, part: str, parts: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of all parts with the group it belongs to.
+
+    ``part`` is 0 for the incoming batch and 1, 2, ... for ever older snapshots, each of which is stored
+    and read back to be met by what came after it.  Returns doc_id, row, part, digest, length, keep_id,
+    group_size, kept, known (the text is in several parts).
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    folder = shared_folder(spark)
+    rows = digest_rows(documents, part, key, text)
+    groups = materialize(group_rows(rows))
+    known = groups.select("digest").limit(0)
+    for at in range(parts - 1, 0, -1):
+        store_snapshot(groups.where(F.col("part") == at), f"{folder}/{at}")
+        newer = groups.where(F.col("part") < at)
+        known = known.unionByName(known_digests(newer, documents, open_snapshot(f"{folder}/{at}", documents), key, text))
+    return _told(rows, _settled_groups(groups, materialize(known.distinct())))

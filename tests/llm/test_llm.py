@@ -604,3 +604,24 @@ def test_flac_any_damage_is_an_error(spark):
     stream = flac.encode_payloads([noise])[0]
     (_, blocks), = flac.decode_streams([stream])
     assert (np.concatenate(blocks)[:, 0] + 128).astype(np.uint8).tobytes() == noise
+
+
+def test_dedup_against_stored_snapshots(spark, tmp_path, monkeypatch):
+    """Two snapshots written once and opened again; a batch many times a bucket's size."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 8)
+    old, new = [words(9, i) for i in range(40)], [words(9, 30 + i) for i in range(40)]
+    first, second = corpus(spark, old + old[:5]), corpus(spark, new, list(range(100, 140)))
+    exact_dedup.write_snapshot(first, str(tmp_path / "a"))
+    exact_dedup.write_snapshot(second, str(tmp_path / "b"))
+    snapshots = [exact_dedup.open_snapshot(str(tmp_path / "a"), first), exact_dedup.open_snapshot(str(tmp_path / "b"), second)]
+    assert snapshots[0].buckets == 5 and snapshots[0].filters.count() == 5
+    texts = [words(9, i) for i in range(20, 200)] + [None, "", words(9, 2)]
+    ids = list(range(50, 50 + len(texts)))
+    got = {r["doc_id"]: r for r in exact_dedup.dedup_against(corpus(spark, texts, ids), snapshots).collect()}
+    every = [(i, t or "") for i, t in zip(ids, texts, strict=True)] + list(enumerate(old + old[:5])) + list(zip(range(100, 140), new, strict=True))
+    seen = {*old, *new}
+    for i, t in zip(ids, texts, strict=True):
+        same = [k for k, x in every if x == (t or "")]
+        r = got[i]
+        assert (r["keep_id"], r["group_size"], r["known"]) == (max(same), len(same), (t or "") in seen)
+        assert r["kept"] <= (i == max(same))
