@@ -30,10 +30,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint: computed once, readable after an executor is lost."""
+    global _calls
     ensure_checkpoint_dir(df.sparkSession)
+    _calls += 1
+    if _calls % SWEEP == 0:
+        sweep(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Checkpoints after which what earlier steps left on disk is let go.
+SWEEP = 6
+_calls = 0
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files, and checkpoints where so configured, that no table needs any more.
+
+    It does so once the driver has collected its garbage, which may be half an hour off in a driver that has
+    little to do; operators of many steps would fill the disks until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``materialize`` for what a loop carries on: the planner's guess of its size is forgotten as well.
 
