@@ -60,7 +60,7 @@ OVERSIZE, ANEW = 1_000, 3
 #: Members of a region that get one pivot; most pivots of a larger one.
 REGION, PIVOTS = 64, 16
 #: Entries of a shard; shingles a task counts together; entries it holds before it sends them; words it remembers.
-SHARD_ENTRIES, COUNTED, FLUSH, REMEMBERED = 400_000, 2_000_000, 600_000, 200_000
+SHARD_ENTRIES, COUNTED, FLUSH, REMEMBERED = 150_000, 2_000_000, 600_000, 200_000
 #: Rows of a side (16 bytes each at most) that is broadcast; larger ones are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -475,7 +475,7 @@ def _regions(documents: DataFrame, scanned: DataFrame, p: JaccardParams, text: s
     total = scanned.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     counted = scanned.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).where("n >= 8")
     heavy = np.sort(_most_frequent(counted, HEAVY_KEYS, total))
-    shards = max(32, -(-total * (100 - p.percent) // 100 // SHARD_ENTRIES))
+    shards = max(64, -(-total * (100 - p.percent) // 100 // SHARD_ENTRIES))
     for _ in range(ANEW):
         entries = materialize(_shared(_entries(documents, p, text, heavy, shards, seed)))
         # Keys put last have their top bit set, and so are negative here.

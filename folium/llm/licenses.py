@@ -255,24 +255,28 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
          license_name: str = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$", templates: Templates = Templates(), wholes: Wholes = Wholes()) -> DataFrame:
     """Files with own_license, own_score, license, inherited_from (a directory, null if own or none).
 
-    Keys must tell files apart for a file's own licence to be its alone.
+    Input columns of these names give way to the results; all others stay as they came, whatever their
+    names.  Keys must tell files apart for a file's own licence to be its alone.
     """
-    own = best_notices(files, files.sparkSession, key, text, templates, wholes)
-    known = files.join(own.withColumnsRenamed({"license": "own_license", "score": "own_score"}), files[key].eqNullSafe(own["_key"]), "left").drop("_key")
-    known = known.withColumn("_dir", parent(F.col(path)))
+    added = ("own_license", "own_score", "license", "inherited_from")
+    held = files.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(path).alias("path"))
+    own = best_notices(files.select(F.col(key).alias("key"), F.col(text).alias("text")), files.sparkSession, "key", "text", templates, wholes)
+    known = held.join(own.withColumnsRenamed({"license": "own_license", "score": "own_score"}), held["key"].eqNullSafe(own["_key"]), "left").drop("_key")
+    known = known.withColumn("at", parent(F.col("path")))
     holders = (
-        known.where(F.regexp_like(F.col(path), F.lit(license_name)) & F.col("own_license").isNotNull())
-        .groupBy(F.col("_dir").alias("dir")).agg(F.min_by("own_license", path).alias("license"))
+        known.where(F.regexp_like("path", F.lit(license_name)) & F.col("own_license").isNotNull())
+        .groupBy(F.col("at").alias("dir")).agg(F.min_by("own_license", "path").alias("license"))
     )
-    places = known.where(F.col("_dir").isNotNull()).select("_dir").distinct().select("_dir", F.explode(ancestors(F.col("_dir"))).alias("a")).select("_dir", "a.depth", "a.dir")
-    nearest = places.join(holders, "dir").groupBy("_dir").agg(F.max(F.struct("depth", "dir", "license")).alias("n")).select(
-        F.col("_dir").alias("_at"), F.col("n.dir").alias("_from"), F.col("n.license").alias("_license")
+    places = known.where(F.col("at").isNotNull()).select("at").distinct().select("at", F.explode(ancestors(F.col("at"))).alias("a")).select("at", "a.depth", "a.dir")
+    nearest = places.join(holders, "dir").groupBy("at").agg(F.max(F.struct("depth", "dir", "license")).alias("n")).select(
+        F.col("at").alias("dir"), F.col("n.dir").alias("source"), F.col("n.license").alias("given")
     )
-    joined = known.join(nearest, F.col("_dir") == F.col("_at"), "left")
+    joined = known.join(nearest, F.col("at") == F.col("dir"), "left")
+    plain = {c.lower() for c in added}
     return joined.select(
-        *[known[c] for c in files.columns], "own_license", "own_score",
-        F.coalesce("own_license", "_license").alias("license"),
-        F.when(F.col("own_license").isNull(), F.col("_from")).alias("inherited_from"),
+        *[F.col("row").getField(c).alias(c) for c in files.columns if c.lower() not in plain], "own_license", "own_score",
+        F.coalesce("own_license", "given").alias("license"),
+        F.when(F.col("own_license").isNull(), F.col("source")).alias("inherited_from"),
     )
 
 

@@ -23,11 +23,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from folium.session import materialize, ship
+from folium.session import materialize, released, ship
 
 #: Words whose ids a Python worker remembers at most; the memo is then begun anew.
-MEMO_WORDS = 600_000
-#: Texts longer than this are tokenised word by word too, but their ids never wait for a batch.
+MEMO_WORDS = 300_000
 PIECE_SCHEMA = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -138,7 +137,7 @@ def tokenize_pieces(
     rows = documents.select(
         F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body")
     )
-    return rows.mapInPandas(pieces, PIECE_SCHEMA + (", ids array<int>" if keep_ids else ""))
+    return rows.mapInPandas(released(pieces), PIECE_SCHEMA + (", ids array<int>" if keep_ids else ""))
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

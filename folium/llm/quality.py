@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folium.session import ship
+from folium.session import released, ship, tidy
 
 #: Labelled rows used for fitting at most (12 bytes each when broadcast, 200 when collected).
 SAMPLE = 20_000
@@ -185,7 +185,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     if allowed is not None:
         usable = usable.where(allowed)
-    votes = usable.groupBy(F.col(key).alias("_key")).agg(F.avg(F.col(label).cast("double")).alias("_label"))
+    votes = usable.groupBy(F.col(key).cast("string").alias("_key")).agg(F.avg(F.col(label).cast("double")).alias("_label"))
     chosen = votes.orderBy(F.xxhash64("_key"), "_key").limit(sample)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,9 +195,11 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     # At most ``sample`` keys of 20 bytes: safe to broadcast at any size of input.
     rows = (
-        documents.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+        documents.select(F.col(key).cast("string").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
         .join(F.broadcast(chosen), "_key")
-        .mapInPandas(describe, "_key long, y double, x array<double>")
+        .mapInPandas(released(describe), "_key string, y double, x array<double>")
+        # Rows that share a key are more than keys: what is collected is bounded again.
+        .orderBy(F.xxhash64("_key", "x"), "_key").limit(sample)
     )
     found = rows.toPandas()
     if not len(found):
@@ -212,8 +214,11 @@ def scorer(forest: Forest):
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(forest.score(statistics_matrix(texts)), index=texts.index)
+        try:
+            for texts in batches:
+                yield pd.Series(forest.score(statistics_matrix(texts)), index=texts.index)
+        finally:
+            tidy()
 
     return quality
 
@@ -224,10 +229,11 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
 
 
 def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``documents`` plus held_out, score, predicted."""
+    """All columns of ``documents`` plus held_out, score, predicted, which take the place of columns so named.
+
+    The key may be of any type that has a text form.
+    """
     forest = train(documents, labels, key, text, allowed=~held_out(key))
-    return (
-        documents.withColumn("held_out", held_out(key))
-        .withColumn("score", scorer(forest)(F.col(text)))
-        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    )
+    likely = scorer(forest)(F.col(text))
+    scored = documents.withColumns({"held_out": held_out(key), "score": likely})
+    return scored.withColumns({"predicted": (F.col("score") >= threshold).cast("int")})

@@ -78,3 +78,59 @@ def test_copies_go_by_row(spark):
         want[r["doc_id"], r["source"], r["size"]] += r["copies"]
     got = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in corpus_pipeline.mix_sources(spark, d, "").collect())
     assert got == +want
+
+
+#: Names that operators and stages use for their results or for themselves, and one with a dot.
+NAMES = [
+    "score", "held_out", "predicted", "kept", "keep_id", "known", "digest", "_digest", "_sha", "sha", "row", "part", "class", "keeper", "seed", "id", "_id",
+    "odd", "stays", "copies", "_copies", "copy", "key", "_key", "main_text", "license", "own_license", "inherited_from", "size", "target", "taken", "e", "cell",
+    "root", "node", "bucket", "piece", "sequence_id", "offset", "length", "n", "at", "dir", "_dir", "body", "media", "shard", "slot", "stretch", "component_id", "a.b",
+]
+
+
+def odd_corpus(spark):
+    """Null, empty, blank, tied, repeated and very long texts, with every clashing name as a column."""
+    long_text = " ".join(words(2000, 3).split() * 130)  # about a million characters
+    texts = [*ODD, long_text, words(80, 1) + ".", words(80, 1) + ".", words(80, 2) + ".", words(80, 2) + " tail."]
+    d = corpus(spark, texts, [*range(len(texts) - 1), None]).select("doc_id", "text", "lang", "source", "n_chars")
+    return texts, d.withColumns({n: F.concat(F.lit(n + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in NAMES})
+
+
+def test_stages_bear_any_columns(spark, tmp_path):
+    texts, at = odd_corpus(spark)
+    spark.createDataFrame([(i, 1, 0) for i in range(14)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    columns = at.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / f"out{i}"))
+        at = spark.read.parquet(str(tmp_path / f"out{i}"))
+        if i < 4:
+            assert at.columns == columns, name
+            for r in at.select("doc_id", "score", "`a.b`").collect():
+                own = "none" if r["doc_id"] is None else r["doc_id"]
+                assert (r["score"], r["a.b"]) == (f"score:{own}", f"a.b:{own}"), name
+    assert at.count() > 0
+
+
+def test_operators_bear_any_columns(spark):
+    from folium.llm import exact_dedup, flac, html_extract, jaccard, licenses, lm_score, mixing, packing, preference, quality
+    from folium.llm.queries import tokenizer_path
+
+    texts, d = odd_corpus(spark)
+    n = len(texts)
+    labels = spark.createDataFrame([(i, int(i > 8), 0) for i in range(14)], "doc_id long, quality int, toxic int")
+    got = quality.score(d, labels)
+    assert got.columns.count("score") == 1 and got.count() == n and dict(got.dtypes)["score"] == "double"
+    assert quality.score(d.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")), labels.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))).count() == n
+    assert jaccard.join_components(d).count() == n
+    files = licenses.scan(d.withColumn("path", F.concat("source", F.lit("/LICENSE"))))
+    assert files.columns.count("license") == 1 and files.count() == n
+    assert files.where("score = concat('score:', doc_id)").count() == n - 1
+    assert flac.round_trip(d).count() == n
+    pages = html_extract.extract(d.withColumn("page_id", F.col("doc_id")).withColumn("html", F.col("text")))
+    assert pages.columns.count("main_text") == 1 and pages.count() == n
+    assert lm_score.score(d).count() == n
+    assert packing.pack(packing.tokenize_pieces(d, tokenizer_path())).select("doc_id").distinct().count() == n
+    assert mixing.mix(d).count() == n
+    assert exact_dedup.dedup(d.withColumn("part", F.lit(0)), "part", 1).count() == n
+    turns = d.withColumns({"pair_id": F.lit(1).cast("long"), "turn": F.col("doc_id"), "role": F.lit("user")})
+    assert preference.format_preferences(turns, turns).count() == 1
