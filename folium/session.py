@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only where none is named (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; set a local one only where none is named and all is one machine."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folium-checkpoint-"))
 
 
