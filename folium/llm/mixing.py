@@ -9,7 +9,8 @@ source and the primal solution is an exponential tilt of the odds,
 
 so the bound of two copies never has to be clipped.  The dual is convex and separable; each Newton
 iteration is one distributed aggregation over a (source, size) histogram, the only thing a rate
-depends on.  Rates are then rounded into whole copies without randomness: along the sizes of a
+depends on.  Up to ``HELD_SOURCES`` sources (counted first) the multipliers travel with the query as an
+array; beyond, they are a table of their own.  Sums are of decimals, so their order does not matter.  Rates are then rounded into whole copies without randomness: along the sizes of a
 source, fractional copies accumulate and every crossing of a half grants one extra copy, so the
 error of a source stays within about one document however many rows it has.
 
@@ -27,8 +28,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folium.session import materialize
+from folium.session import materialize, settled
 
+#: Sources whose multipliers the driver holds (24 bytes each).
+HELD_SOURCES = 5_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,11 +97,61 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, p: MixParams) -> DataFr
     t = targets.alias("t").join(stats.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left").select(
         "t.source", "source_size", "target", F.coalesce("mean_size", F.lit(1.0)).alias("mean_size")
     )
-    # The tilt is kept out of reach of overflow; at |lambda| = 700 even the mean size is saturated.
-    state = materialize(
-        t.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-700.0)).withColumn("hi", F.lit(700.0))
-        .withColumn("done", (F.col("source_size") == 0) | (F.col("target") >= F.col("source_size") * F.lit(p.max_copies)))
+    stats = materialize(
+        t.withColumn("done", (F.col("source_size") == 0) | (F.col("target") >= F.col("source_size") * F.lit(p.max_copies)))
     )
+    state = _solve_held(histogram, stats, p) if stats.count() <= HELD_SOURCES else _solve_joined(histogram, stats, p)
+    return state.select(
+        "source", "source_size", "target", "mean_size",
+        F.when(F.col("target") < F.col("source_size") * F.lit(p.max_copies), F.col("lam")).alias("lambda"),
+    )
+
+
+def _moments(share: Column, x: Column) -> list[Column]:
+    """What a step needs of a source, as decimals: sums in another order come to the same double."""
+    exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")
+    words = F.col("n") * F.col("size")
+    return [exact(words * share).alias("taken_share"), exact(words * x * share * (1 - share)).alias("slope")]
+
+
+#: The tilt is kept out of reach of overflow; at |lambda| = 700 even the mean size is saturated.
+FAR = 700.0
+
+
+def _solve_held(histogram: DataFrame, stats: DataFrame, p: MixParams) -> DataFrame:
+    """Newton with the multipliers as an array of the driver, one aggregation a step."""
+    # One row per source, at most HELD_SOURCES of them.
+    by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
+    numbered = materialize(stats.withColumn("number", F.row_number().over(by_name)))
+    rows = numbered.select("target", "done").orderBy("number").collect()
+    cells = materialize(
+        histogram.alias("h").join(F.broadcast(numbered).alias("t"), F.col("h.source").eqNullSafe(F.col("t.source")))
+        .select("t.number", "h.n", "h.size", (F.col("h.size") / F.col("t.mean_size")).alias("x"))
+    )
+    lam, lo, hi = [0.0] * len(rows), [-FAR] * len(rows), [FAR] * len(rows)
+    left = {i for i, r in enumerate(rows) if not r["done"]}
+    for _ in range(p.max_iterations):
+        if not left:
+            break
+        tilt = F.element_at(F.lit(lam), F.col("number"))
+        share = F.lit(1.0) / (F.lit(1.0) + F.exp(-tilt * F.col("x")))
+        for m in cells.groupBy("number").agg(*_moments(share, F.col("x"))).collect():
+            i = m["number"] - 1
+            if i not in left:
+                continue
+            gap = m["taken_share"] * p.max_copies - rows[i]["target"]
+            if abs(gap) <= p.tolerance * max(rows[i]["target"], 1.0):
+                left.discard(i)
+                continue
+            lo[i], hi[i] = (lam[i], hi[i]) if gap < 0 else (lo[i], lam[i])
+            newton = lam[i] - gap / max(m["slope"] * p.max_copies, 1e-300)
+            lam[i] = newton if lo[i] < newton < hi[i] else (lo[i] + hi[i]) / 2
+    return numbered.withColumn("lam", F.element_at(F.lit(lam), F.col("number")) if rows else F.lit(0.0))
+
+
+def _solve_joined(histogram: DataFrame, stats: DataFrame, p: MixParams) -> DataFrame:
+    """Newton with the multipliers as a table, one aggregation and two joins a step."""
+    state = materialize(stats.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(-FAR)).withColumn("hi", F.lit(FAR)))
     for _ in range(p.max_iterations):
         open_sources = state.where(~F.col("done"))
         x = F.col("size") / F.col("mean_size")
@@ -107,12 +160,7 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, p: MixParams) -> DataFr
             histogram.alias("h")
             .join(open_sources.alias("o"), F.col("h.source").eqNullSafe(F.col("o.source")))
             .select(F.col("o.source").alias("source"), F.col("h.n").alias("n"), F.col("h.size").alias("size"), x.alias("x"), share.alias("q"))
-            .groupBy("source")
-            .agg(
-                # Decimals, so that sums in another order come to the same double.
-                F.sum((F.col("n") * F.col("size") * F.col("q")).cast("decimal(28,12)")).cast("double").alias("taken_share"),
-                F.sum((F.col("n") * F.col("size") * F.col("x") * F.col("q") * (1 - F.col("q"))).cast("decimal(28,12)")).cast("double").alias("slope"),
-            )
+            .groupBy("source").agg(*_moments(F.col("q"), F.col("x")))
         )
         gap = F.col("taken_share") * F.lit(p.max_copies) - F.col("target")
         step = (
@@ -135,13 +183,10 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, p: MixParams) -> DataFr
                 (F.col("done") | F.coalesce(F.col("close"), F.lit(True))).alias("done"),
             )
         )
-        state = materialize(step)
+        state = settled(step)
         if state.where(~F.col("done")).isEmpty():
             break
-    return state.select(
-        "source", "source_size", "target", "mean_size",
-        F.when(F.col("target") < F.col("source_size") * F.lit(p.max_copies), F.col("lam")).alias("lambda"),
-    )
+    return state
 
 
 def cell_copies(histogram: DataFrame, solution: DataFrame, p: MixParams) -> DataFrame:
@@ -179,7 +224,7 @@ def mix(documents: DataFrame, p: MixParams = MixParams(), text: str = "text", so
     solution = solve_dual(histogram.where("size > 0"), source_targets(sources, p), p)
     cells = cell_copies(histogram, solution, p)
 
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)).cast("int")  # rows of one key, or of none, spread as well
     dealt = sized.withColumn("bucket", bucket)
     counts = dealt.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("m"))
     same_cell = F.col("c.source").eqNullSafe(F.col("b.source")) & (F.col("c.size") == F.col("b.size"))

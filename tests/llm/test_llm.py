@@ -625,3 +625,22 @@ def test_dedup_against_stored_snapshots(spark, tmp_path, monkeypatch):
         r = got[i]
         assert (r["keep_id"], r["group_size"], r["known"]) == (max(same), len(same), (t or "") in seen)
         assert r["kept"] <= (i == max(same))
+
+
+def test_newton_forms_agree_and_are_the_dual_optimum(spark, monkeypatch):
+    r = random.Random(12)
+    texts = [words(r.randint(1, 50), i) for i in range(300)]
+    d = corpus(spark, texts, sources=[r.choice(["a", "b", "b", "c", None]) for _ in texts])
+    held = {x["doc_id"]: (x["rate"], x["copies"]) for x in mixing.mix(d).collect()}
+    monkeypatch.setattr(mixing, "HELD_SOURCES", 0)
+    got = mixing.mix(d).collect()
+    for x in got:
+        assert math.isclose(held[x["doc_id"]][0], x["rate"], rel_tol=1e-9) and held[x["doc_id"]][1] == x["copies"]
+    by = {}
+    for x in got:
+        by.setdefault(x["source"], []).append(x)
+    for rows in by.values():
+        # Rates meet the target, and their log odds are in proportion to sizes: the optimality conditions of the dual.
+        assert math.isclose(sum(x["rate"] * x["size"] for x in rows), rows[0]["target"], rel_tol=1e-6)
+        tilts = [math.log(x["rate"] / (2 - x["rate"])) / x["size"] for x in rows if 0 < x["rate"] < 2]
+        assert not tilts or max(tilts) - min(tilts) < 1e-6 * max(1, abs(tilts[0]))
