@@ -94,9 +94,18 @@ def date(text: Column | str, as_of: Column, meta: Column | None = None, modified
     return F.coalesce(*keys, found_dates, *last)
 
 
-def isbn(text: Column | str) -> Column:
-    """Ten to seventeen digits and hyphens after ISBN, or on their own; separators taken out."""
+# Fixed value: an ISBN as the inventory has it, labelled or not.
+ISBN = r"(?i)((?:ISBN(?:-10)?:?\s*)?(?:[\d-]{10,17})|(?:ISBN(?:-13)?:?\s*)?(?:97[89][\d-]{10,14}))"
+
+
+def isbn(text: Column | str, labelled_first: bool = False) -> Column:
+    """The first run of ten to seventeen digits and hyphens, labelled or not; label and separators taken out.
+
+    With ``labelled_first`` a labelled one anywhere goes before loose ones, and a loose one must stand alone.
+    """
     body = F.substring(col(text), 1, 10000)
+    if not labelled_first:
+        return F.regexp_replace(F.regexp_replace(found(body, ISBN), r"(?i)ISBN[-:\s]*", ""), r"[\-\s]", "")
     labelled = found(body, r"(?i)ISBN(?:-1[03])?:?\s*([\d][\d\-]{8,16}[\dXx])")
     loose = found(body, r"(?:^|[^\d\-])(\d[\d\-]{8,15}[\dXx])(?:[^\d\-]|$)")
     return F.regexp_replace(F.coalesce(labelled, loose), r"[\-\s]", "")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folium.functions import fixed
-from folium.functions.text import SPACE, col, display, strip
+from folium.functions.text import SPACE, any_of, col, display, strip
 
 SEGMENT = "struct<pos:int,type:string,text:string,level:int,section:string,title:string,length:int,is_toc:boolean>"
 
@@ -42,7 +42,7 @@ def in_fours(text: Column) -> Column:
 
 def is_header(text: Column | str, patterns: list[str] | None = None) -> Column:
     """Any of the header patterns from the start of the text on."""
-    return F.regexp_like(col(text), F.lit("|".join(f"(?:{p})" for p in (patterns or fixed.HEADERS))))
+    return F.regexp_like(col(text), F.lit(any_of(patterns or fixed.HEADERS)))
 
 
 def header_level(text: Column | str) -> Column:

@@ -41,8 +41,15 @@ def replace_controls(text: Column | str) -> Column:
     return F.translate(col(text), source, "\n\n\n " + "".join(fixed.BULLETS.values()))
 
 
+def any_of(patterns: list[str]) -> str:
+    """One pattern for all.  An anchor that all share stands in front as well: else each alternative is tried at
+    every character of a text that none fits."""
+    joined = "|".join(f"(?:{p})" for p in patterns)
+    return f"^(?:{joined})" if all(p.startswith("^") for p in patterns) else joined
+
+
 def furniture_pattern(patterns: list[str] | None = None) -> str:
-    return "(?i)(?:" + "|".join(f"(?:{p})" for p in (patterns or fixed.FURNITURE_LINES)) + ")"
+    return f"(?i)(?:{any_of(patterns or fixed.FURNITURE_LINES)})"
 
 
 def clean(text: Column | str, min_line: int = 3, patterns: list[str] | None = None, collapse_newlines: bool = True) -> Column:
@@ -63,11 +70,15 @@ def drop_duplicate_paragraphs(text: Column | str, separator: str = "\n\n", short
     """The first of paragraphs that are equal without regard to case and white space; short ones all stay."""
     parts = F.split(col(text), re.escape(separator))
     keys = F.transform(parts, lambda p: F.when(F.char_length(strip(p)) >= shortest, collapse_space(F.lower(p))))
-    first = F.filter(
-        F.arrays_zip(parts.alias("part"), keys.alias("key"), F.sequence(F.lit(1), F.size(parts)).alias("at")),
-        lambda z: z["key"].isNull() | (F.array_position(keys, z["key"]) == z["at"]),
-    )
-    return F.array_join(F.transform(first, lambda z: z["part"]), separator)
+    # Sorted by key and place, the first of each key is where the key changes: no search for every paragraph.
+    placed = F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("at")))
+
+    def firsts(ordered: Column) -> Column:
+        new = lambda z, i: z["key"].isNull() | (i == 0) | ~z["key"].eqNullSafe(F.get(ordered, i - 1)["key"])
+        return F.array_sort(F.transform(F.filter(ordered, new), lambda z: z["at"]))
+
+    kept = lambda p: F.transform(let(F.array_sort(placed), firsts), lambda i: F.get(p, i))
+    return F.array_join(let(parts, kept), separator)
 
 
 def replace_patterns(text: Column | str, patterns: list[str], replacements: list[str]) -> Column:

@@ -9,28 +9,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folium.functions import fixed
-from folium.functions.text import best_of, let
+from folium.functions.text import any_of, best_of, let
 
 ENTRY = "array<struct<title:string,page:int,level:int,text:string,section:string>>"
 
-#: Entry forms in the order they are tried: (pattern, groups of section, title, page; 0 is absent).
+# Entry forms in the order they are tried, with the groups of section, title and page (0 is absent).
 FORMS = [
-    (r"^\s*(.+?)\s*\.{2,}\s*(\d+)\s*$", 0, 1, 2),
-    (r"^\s*((?:\d+[.\-])*\d+[.\-]?)\s+(.+?)\s+(\d+)\s*$", 1, 2, 3),
-    (r"^\s*([IVX]+|[A-Z])[.\-]\s+(.+?)\s+(\d+)\s*$", 1, 2, 3),
-    (r"^\s*[\[(](\d+|[A-Z]|[IVX]+)[\])]\s+(.+?)\s+(\d+)\s*$", 1, 2, 3),
-    (r"^\s*(.+?)\s+(?:[Ss]eite|[Pp]age|[Pp]ágina|[Pp]agina|[Pp]\.?)\s+(\d+)\s*$", 0, 1, 2),
-    (r"^\s{2,}(.+?)\s+(\d+)\s*$", 0, 1, 2),
+    (r"^(.+?)[\.\-_]{2,}\s*(\d+)\s*$", 0, 1, 2),
+    (r"^(\s*(?:\d+[\.\-])*\d+[\.\-]?)\s+(.+?)\s+(\d+)\s*$", 1, 2, 3),
+    (r"^(\s*(?:[IVX]+|[A-Z])[\.\-])\s+(.+?)\s+(\d+)\s*$", 1, 2, 3),
+    (r"^(\s*[\[\(](?:\d+|[A-Z]|[IVX]+)[\]\)])\s+(.+?)\s+(\d+)\s*$", 1, 2, 3),
+    (r"^(.+?)\s+(?:[Pp]age|[Pp]ágina|[Pp]agina|[Ss]eite|[Pp]\.?|страница|стр\.|strona|str\.|σελίδα|σελ\.|oldal|sivu|s\.|sida|strana|pagină|pag\.)\s+(\d+)\s*$", 0, 1, 2),
+    (r"^(\s+|[»•◦▪‣◘○●·]+\s+)(.+?)\s+(\d+)\s*$", 0, 2, 3),
     (r"^(.+?)\s+(\d+)\s*$", 0, 1, 2),
 ]
 
 
 def is_toc_title(line: Column | str) -> Column:
-    return F.regexp_like(F.trim(line), F.lit("|".join(f"(?:{p})" for p in fixed.TOC_TITLES)))
+    return F.regexp_like(F.trim(line), F.lit(any_of(fixed.TOC_TITLES)))
 
 
 def is_toc_entry(line: Column | str) -> Column:
-    return F.regexp_like(line, F.lit("|".join(f"(?:{p})" for p in fixed.TOC_ENTRIES)))
+    return F.regexp_like(line, F.lit(any_of(fixed.TOC_ENTRIES)))
 
 
 def entry_parts(line: Column) -> Column:
@@ -38,10 +38,10 @@ def entry_parts(line: Column) -> Column:
     def one(pattern: str, section: int, title: int, page: int) -> Column:
         part = lambda g: F.regexp_extract(line, pattern, g)
         struct = F.struct(
-            (F.nullif(part(section), F.lit("")) if section else F.lit(None).cast("string")).alias("section"),
+            (F.nullif(F.trim(part(section)), F.lit("")) if section else F.lit(None).cast("string")).alias("section"),
             F.trim(part(title)).alias("title"), F.expr("CAST(NULL AS INT)").alias("none"), part(page).try_cast("int").alias("page"),
         )
-        direct = page == 2 and pattern == FORMS[-1][0]
+        direct = pattern == FORMS[-1][0]
         fits = F.regexp_like(line, F.lit(pattern))
         if direct:
             fits = fits & part(page).try_cast("int").between(1, 5000) & F.char_length(line).between(5, 200)

@@ -167,7 +167,7 @@ EDITIONS_SQL = chain_sql([
 
 @query(f"SELECT doc_id, {EDITIONS_SQL} AS edition, regexp_replace({ISBN_SQL}, '[\\-\\s]', '', 'g') AS isbn FROM documents")
 def edition_isbn(spark, sf):
-    return docs(spark, sf).select("doc_id", metadata.edition("text").alias("edition"), metadata.isbn("text").alias("isbn"))
+    return docs(spark, sf).select("doc_id", metadata.edition("text").alias("edition"), metadata.isbn("text", labelled_first=True).alias("isbn"))
 
 
 @query(r"""
@@ -346,6 +346,13 @@ def strategy_comparison(spark, sf):
     return summary.strategy_comparison(part(300).unionByName(part(800)))
 
 
+@query(r"""
+WITH f AS (SELECT doc_id, regexp_extract(substr(text, 1, 10000), '(?i)((?:ISBN(?:-10)?:?\s*)?(?:[\d-]{10,17})|(?:ISBN(?:-13)?:?\s*)?(?:97[89][\d-]{10,14}))', 1) AS run FROM documents)
+SELECT doc_id, nullif(regexp_replace(regexp_replace(run, 'ISBN[-:\s]*', '', 'gi'), '[-\s]', '', 'g'), '') AS isbn FROM f""")
+def isbn_first_run(spark, sf):
+    return docs(spark, sf).select("doc_id", metadata.isbn("text").alias("isbn"))
+
+
 HEADERS_SQL = quoted("|".join(f"(?:{p})" for p in fixed.HEADERS))
 LINES_SQL = "'Chapter IV: The Title' || chr(10) || text"
 

@@ -50,9 +50,9 @@ def json_document(row: Column) -> Column:
     return F.to_json(row)
 
 
-def corrected_pages(pages: Column, box: int = 100_000, page: int = 5_000) -> Column:
-    """Texts of the pages of a corrected document, cut to what fits a page."""
-    return F.flatten(F.transform(pages, lambda p: slices(F.substring(p["text"], 1, box), page)))
+def corrected_pages(pages: Column, page: int = 5_000) -> Column:
+    """Texts of the pages of a corrected document, split to what fits a page; nothing is left out."""
+    return F.flatten(F.transform(pages, lambda p: slices(F.coalesce(p["text"], F.lit("")), page)))
 
 
 def comparison_pages(original: Column, corrected: Column) -> Column:
@@ -70,19 +70,46 @@ def comparison_pages(original: Column, corrected: Column) -> Column:
 
 
 def export(documents: DataFrame, folder: str, formats: list[str], name: str = "name", **columns: str) -> dict[str, str]:
-    """One folder per format (markdown, json, text), files partitioned by document name; returns the folders.
+    """One table per format (markdown, json, text), a row per document: document, value; returns their paths.
 
-    ``columns`` names the columns that hold each format's text.
+    ``columns`` names the columns that hold each format's text.  A file or folder per document would be as
+    many as there are documents; ``one_document`` takes a single one out.
     """
     out = {}
     for f in formats:
         path = f"{folder.rstrip('/')}/{f}"
-        rows = documents.select(F.col(columns.get(f, f)).alias("value"), F.col(name).alias("document"))
-        rows.write.mode("overwrite").partitionBy("document").text(path)
+        documents.select(F.col(name).alias("document"), F.col(columns.get(f, f)).alias("value")).write.mode("overwrite").parquet(path)
         out[f] = path
     return out
 
 
+def one_document(spark, path: str, document: str) -> str | None:
+    """The text of one exported document (the first by value if several share its name)."""
+    row = spark.read.parquet(path).where(F.col("document") == document).agg(F.min("value")).first()
+    return row[0]
+
+
+def document_texts(chunks: DataFrame, described: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of processed documents: name, markdown, json and text, ready for ``export``.
+
+    ``described`` has a row per document with title and, if known, author, date, language, topics; its
+    chunks (chunk_no, text) follow in order.  A document without chunks has an empty body.
+    """
+    has = lambda c: F.col(c) if c in described.columns else None
+    parts = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("c")).select(
+        key, F.transform("c", lambda x: F.struct(x["text"].alias("text"), F.array().cast("array<struct<type:string,text:string,level:int>>").alias("segments"))).alias("chunks_")
+    )
+    rows = described.join(parts, key, "left").withColumn("chunks_", F.coalesce("chunks_", F.array().cast("array<struct<text:string,segments:array<struct<type:string,text:string,level:int>>>>")))
+    title = F.coalesce("title", F.lit("document"))
+    body = F.array_join(F.transform("chunks_", lambda c: c["text"]), "\n\n")
+    return rows.select(
+        key, file_name(F.col("title"), has("date")).alias("name"),
+        markdown(title, F.col("chunks_"), has("author"), has("date"), has("language"), has("topics")).alias("markdown"),
+        json_document(F.struct(*described.columns, F.transform("chunks_", lambda c: c["text"]).alias("chunks"))).alias("json"),
+        plain(title, body, has("author"), has("date")).alias("text"),
+    )
+
+
 def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Vectors, texts, summaries and the embedder's name in one Parquet table."""
     index.write.mode(mode).parquet(path)
@@ -98,11 +125,21 @@ def load_index(spark, path: str, embedder_id: str | None = None) -> DataFrame:
 
 
 def append_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows behind the old ones: ids go on where they end."""
+    """New rows behind the old ones: ids go on where they end, by document, then by chunk.
+
+    Documents are numbered by a range sort: rows are counted per partition of the sorted table, and only
+    those counts are summed up in one place.
+    """
     from pyspark.sql import Window
 
+    from folium.session import materialize
+
     last = index.agg(F.coalesce(F.max("vec_id"), F.lit(-1)).alias("last"))
-    numbered = new.withColumn("vec_id", F.row_number().over(Window.orderBy("document_id", "chunk_id")).cast("long"))
+    placed = materialize(new.orderBy("document_id", "chunk_id").withColumn("part_", F.spark_partition_id()))
+    sizes = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = sizes.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy("document_id", "chunk_id"))
+    numbered = placed.join(F.broadcast(before), "part_").withColumn("vec_id", (F.col("before_") + inside).cast("long")).drop("part_", "before_")
     shifted = numbered.join(F.broadcast(last)).withColumn("vec_id", F.col("vec_id") + F.col("last")).drop("last")
     return index.unionByName(shifted, allowMissingColumns=True)
 

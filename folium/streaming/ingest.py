@@ -15,6 +15,13 @@ def file_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFr
     return sources.describe(raw).where("supported")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written: any other trouble in reading it is not taken for its absence."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(place) and any(s.getPath().getName().endswith(".parquet") for s in files.listStatus(place))
+
+
 def ingest(spark: SparkSession, path: str, table: str, checkpoint: str, pdf=None, ocr=None, per_batch: int = 1000) -> StreamingQuery:
     """Append each batch's new documents (by content hash) to a Parquet table; starts and returns the query.
 
@@ -23,10 +30,7 @@ def ingest(spark: SparkSession, path: str, table: str, checkpoint: str, pdf=None
 
     def add(batch: DataFrame, _: int) -> None:
         rows = sources.extract(batch, pdf, ocr).withColumnRenamed("hash", "document_id").dropDuplicates(["document_id"])
-        try:
-            known = spark.read.parquet(table).select("document_id")
-        except Exception:  # the first batch makes the table
-            known = None
+        known = spark.read.parquet(table).select("document_id") if _there(spark, table) else None  # the first batch makes it
         fresh = rows if known is None else rows.join(known, "document_id", "left_anti")
         fresh.withColumn("ingested_at", F.current_timestamp()).write.mode("append").parquet(table)
 
