@@ -265,7 +265,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     known = known.withColumn("at", parent(F.col("path")))
     holders = (
         known.where(F.regexp_like("path", F.lit(license_name)) & F.col("own_license").isNotNull())
-        .groupBy(F.col("at").alias("dir")).agg(F.min_by("own_license", "path").alias("license"))
+        .groupBy(F.col("at").alias("dir")).agg(F.min_by("own_license", F.struct("path", "own_license")).alias("license"))
     )
     places = known.where(F.col("at").isNotNull()).select("at").distinct().select("at", F.explode(ancestors(F.col("at"))).alias("a")).select("at", "a.depth", "a.dir")
     nearest = places.join(holders, "dir").groupBy("at").agg(F.max(F.struct("depth", "dir", "license")).alias("n")).select(
