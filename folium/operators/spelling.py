@@ -6,7 +6,10 @@ characters), which turns edit distance into an equi-join; ``levenshtein`` verifi
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
@@ -131,6 +134,27 @@ BACKENDS = {
 }
 
 
+#: Which correctors are tried after one that fails, in order.
+FALLBACKS = {"standard": ("closest", "scan"), "closest": ("standard", "scan"), "scan": ("standard", "closest")}
+
+
 def backend(*preference: str):
     """The first known corrector of a preference, else the standard one."""
     return next((BACKENDS[p] for p in preference if p in BACKENDS), BACKENDS["standard"])
+
+
+def corrected_words(words: DataFrame, dictionary: DataFrame, *preference: str, **options) -> DataFrame:
+    """word, correction by the first corrector of a preference that can be set up, then by its fallbacks.
+
+    A corrector that does not exist, whose library is missing or whose dictionary lacks its columns is passed
+    over with a warning; if none is left, nothing is corrected.
+    """
+    names = [*(preference or ("standard",))]
+    for name in [*names, *(f for n in names for f in FALLBACKS.get(n, ()) if f not in names), *(n for n in ("standard",) if n not in names)]:
+        try:
+            found = BACKENDS[name](words, dictionary, **options).select("word", "correction")
+            found.schema  # noqa: B018  a plan that cannot be made fails here, before any row is read
+            return found
+        except (KeyError, ImportError, AnalysisException) as e:
+            warnings.warn(f"spelling backend {name} is passed over: {str(e)[:200]}", stacklevel=2)
+    return words.select("word", F.lit(None).cast("string").alias("correction")).limit(0)

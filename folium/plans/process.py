@@ -26,6 +26,7 @@ class Options:
     as_of: str = "2100-01-01"
     header_patterns: tuple[str, ...] | None = None
     vocabulary: dict = field(default_factory=dict)
+    route: bool = True  # documents of a category with a pipeline of its own are chunked by its settings
 
 
 TECHNICAL = Options(longest=2000)
@@ -75,6 +76,21 @@ def chunk_documents(segmented: DataFrame, o: Options = Options()) -> DataFrame:
     return chunks.withColumn("summary", segments.summary("text", o.summary_longest))
 
 
+def chunk_routed(segmented: DataFrame, classes: DataFrame, o: Options = Options()) -> DataFrame:
+    """Chunks of all documents, each by the settings of its category's pipeline.
+
+    ``classes``: doc_id, category.  There is one pass for each pipeline and one for all that have none.
+    """
+    if not o.route or o.strategy != Options().strategy:
+        return chunk_documents(segmented, o)
+    special = classes.where(F.col("category").isin(*PIPELINES))
+    out = chunk_documents(segmented.join(special, "doc_id", "left_anti"), o)
+    for category in PIPELINES:
+        own = segmented.join(special.where(F.col("category") == category), "doc_id", "left_semi")
+        out = out.unionByName(chunk_documents(own, options_for(category, o)))
+    return out
+
+
 def process(documents: DataFrame, o: Options = Options(), key: str = "doc_id", text: str = "text", dictionary: DataFrame | None = None,
             filename: str | None = None) -> dict[str, DataFrame]:
     """Documents with metadata and classes, their segments, and their chunks.
@@ -89,7 +105,8 @@ def process(documents: DataFrame, o: Options = Options(), key: str = "doc_id", t
         "metadata", metadata.extract_metadata(text, F.lit(o.as_of).cast("date"), path=F.col(filename) if filename else None)
     )
     segmented = segment_documents(cleaned, o, key, text)
-    return {"documents": described, "segments": segmented, "chunks": chunk_documents(segmented, o)}
+    classes = described.select(F.col(key).alias("doc_id"), F.col("classification.category").alias("category"))
+    return {"documents": described, "segments": segmented, "chunks": chunk_routed(segmented, classes, o)}
 
 
 def process_directory(spark: SparkSession, path: str, o: Options = Options(), pdf: Callable | None = None, ocr: Callable | None = None,

@@ -74,6 +74,40 @@ def strategy_comparison(chunks: DataFrame) -> DataFrame:
     )
 
 
+def toc_success(documents: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """total, detected, success_rate in percent: documents of which a table of contents was found."""
+    marked = documents.select(key).join(found.select(key).distinct().withColumn("hit", F.lit(1)), key, "left")
+    return marked.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("hit"), F.lit(0)).alias("detected")).select(
+        "total", "detected", F.when(F.col("total") > 0, F.round(F.col("detected") * 100.0 / F.col("total"), 2)).otherwise(F.lit(0.0)).alias("success_rate")
+    )
+
+
+def page_averages(documents: DataFrame, pages: str = "pages") -> DataFrame:
+    """pages, total_chars, chars_per_page (one decimal) of each document read by page; pages without text count."""
+    total = F.aggregate(F.col(pages), F.lit(0), lambda n, p: n + F.coalesce(F.char_length(p["text"]), F.lit(0)))
+    count = F.size(pages)
+    return documents.where(F.col(pages).isNotNull()).withColumns({
+        "page_count": count, "total_chars": total, "chars_per_page": F.when(count > 0, F.round(total / count, 1)).otherwise(F.lit(0.0)),
+    })
+
+
+def evaluation_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """total, passed, failed, pass_rate in percent of evaluated assertions (column ``passed``), in all or by columns."""
+    counted = results.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(F.col("passed").cast("long")), F.lit(0)).alias("passed"))
+    return counted.withColumns({
+        "failed": F.col("total") - F.col("passed"),
+        "pass_rate": F.when(F.col("total") > 0, F.round(F.col("passed") * 100.0 / F.col("total"), 2)).otherwise(F.lit(0.0)),
+    })
+
+
+def metadata_lines(described: DataFrame, histogram: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One line of log for each document: its metadata fields that are known, and its counts of segments by type."""
+    m = F.col("metadata")
+    fields = [F.concat(F.lit(f"{n}: "), F.array_join(m[n], ", ") if n == "topics" else m[n].cast("string")) for n in COMPLETENESS]
+    counts = histogram.groupBy(key).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "type", F.col("n").cast("string")))).alias("counts_"))
+    return described.join(counts, key, "left").select(key, F.concat_ws("; ", *fields, F.array_join("counts_", ", ")).alias("line"))
+
+
 def retrieval_quality(hits: DataFrame, mode: str = "mode") -> DataFrame:
     """Mean top-1 score of every mode."""
     return hits.where("rank = 1").groupBy(mode).agg(F.round(F.avg("score"), 6).alias("mean_top1"), F.count(F.lit(1)).alias("queries"))

@@ -155,5 +155,17 @@ def write_log(events: DataFrame, path: str) -> None:
     flat.write.mode("append").option("header", True).csv(path)
 
 
+def save_evaluation(results: DataFrame, folder: str, by: list[str] | None = None) -> dict[str, str]:
+    """Evaluated assertions and their summaries as JSON lines: ``results``, ``summary`` and, with ``by``, ``groups``."""
+    from folium.plans.summary import evaluation_summary
+
+    out = {n: f"{folder.rstrip('/')}/{n}" for n in ("results", "summary", *(("groups",) if by else ()))}
+    results.write.mode("overwrite").json(out["results"])
+    evaluation_summary(results).write.mode("overwrite").json(out["summary"])
+    if by:
+        evaluation_summary(results, by).write.mode("overwrite").json(out["groups"])
+    return out
+
+
 def safe_title(title: Column) -> Column:
     return to_ascii(title)

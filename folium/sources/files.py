@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folium.functions import fixed
 from folium.functions.classify import format_hints, size_class
+from folium.sources.pdf import read_pdf
 
 FORMATS = {"pdf": [".pdf"], "word": [".docx", ".doc", ".rtf"], "spreadsheet": [".xlsx", ".xls"], "text": [".txt", ".html", ".htm"],
            "image": [".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp"]}
@@ -193,12 +194,12 @@ def extract_one(content: bytes, ext: str, pdf: Provider | None, ocr: Provider |
             pages = [{"page_num": i + 1, "sheet_name": n, "text": t, "has_text": bool(t)} for i, (n, t) in enumerate(sheets)]
             return row | {"text": "\n\n".join(f"Sheet: {n}\n{t}" for n, t in sheets), "pages": pages, "extraction_method": "excel"}
         if ext == ".pdf":
-            texts = pdf(content) if pdf else []
+            texts = (pdf or read_pdf)(content)
             method, layer = "pdf", any(t.strip() for t in texts)
             if not layer and ocr:
                 texts, method = ocr(content), "pdf_ocr"
-            if not texts:
-                return row | {"success": False, "has_text_layer": False, "extraction_method": "pdf", "error": "no PDF provider gave text"}
+            if not any(t.strip() for t in texts):
+                return row | {"success": False, "has_text_layer": False, "extraction_method": "pdf", "error": "no text layer, and no OCR provider gave text"}
             pages = [{"page_num": i + 1, "sheet_name": None, "text": t, "has_text": bool(t.strip())} for i, t in enumerate(texts)]
             return row | {"text": "\n\n".join(texts), "pages": pages, "extraction_method": method, "has_text_layer": layer}
         if ext in FORMATS["image"]:
@@ -213,7 +214,8 @@ def extract_one(content: bytes, ext: str, pdf: Provider | None, ocr: Provider |
 def extract(files: DataFrame, pdf: Provider | None = None, ocr: Provider | None = None) -> DataFrame:
     """Described files -> documents: one row per file, with ``success`` and ``error``.
 
-    ``pdf`` and ``ocr`` are providers from bytes to texts by page; without them such files are error rows.
+    ``pdf`` and ``ocr`` are providers from bytes to texts by page.  Without ``pdf`` the text layer is read by
+    ``sources.pdf``; without ``ocr`` images and scanned PDF files are error rows.
     """
     kept = [c for c in files.columns if c != "content"]
     kinds = dict(files.dtypes)
