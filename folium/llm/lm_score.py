@@ -49,7 +49,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folium.session import materialize, released, ship
+from folium.session import materialize, released, ship, sweep
 
 #: Text bytes of a stretch, its documents at most, and text bytes whose lists a shard is meant to get.
 STRETCH_BYTES, STRETCH_DOCS, SHARD_BYTES = 6_000_000, 4_000, 8_000_000
@@ -663,6 +663,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     shards = max(32, -(-size // SHARD_BYTES))
     bits = min(62, SPARE_BITS + max(8, (size // 4).bit_length()))
     gathered = materialize(_gathered(_stretches(documents, shards, bits, key, text)))
+    sweep(spark)  # the lists as they were exchanged
     vocabulary = gathered.where("kind = 2").select("shard", "a", "b")
     totals = gathered.where("kind = 2").agg(F.sum("n_distinct"), F.sum("n_all")).first()
     distinct, everything = int(totals[0] or 0), int(totals[1] or 0)
