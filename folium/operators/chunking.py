@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from folium.functions.vectors import Embedder, hashing_embedder
 
-CHUNKS = "doc_id long, chunk_no int, chunk_id string, text string, length int, semantic boolean, hybrid boolean"
+CHUNKS = "chunk_no int, chunk_id string, text string, length int, semantic boolean, hybrid boolean"
+
+
+def _schema(rows: DataFrame) -> str:
+    return f"doc_id {dict(rows.dtypes)['doc_id']}, {CHUNKS}"
+
+
+class _Cosines:
+    """Rows of the cosines of all pairs, each computed when it is asked for: memory follows the texts, not their pairs."""
+
+    def __init__(self, unit: np.ndarray):
+        self.unit = unit
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.unit @ self.unit[i]
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -16,7 +30,7 @@ def _unit(vectors: list[np.ndarray]) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def merge_segments(types: list[str], texts: list[str], cos: np.ndarray, threshold: float, cap: float, header_cap: float | None) -> list[list[int]]:
+def merge_segments(types: list[str], texts: list[str], cos: np.ndarray | _Cosines, threshold: float, cap: float, header_cap: float | None) -> list[list[int]]:
     """Headers first gather what is like them, then the rest gathers within the size cap."""
     used, out = [False] * len(texts), []
     for header_turn in (True, False):
@@ -24,8 +38,8 @@ def merge_segments(types: list[str], texts: list[str], cos: np.ndarray, threshol
             if used[i] or (kind == "header") != header_turn:
                 continue
             used[i], group, size = True, [i], len(texts[i])
-            for j in range(len(texts)):
-                if used[j] or cos[i, j] < threshold:
+            for j in np.flatnonzero(cos[i] >= threshold).tolist():
+                if used[j]:
                     continue
                 limit = header_cap if header_turn else cap
                 if limit is not None and size + len(texts[j]) > limit:
@@ -49,10 +63,10 @@ def semantic_chunks(segmented: DataFrame, embedder: Embedder | None = None, thre
             return pd.DataFrame(columns=["doc_id", "chunk_no", "chunk_id", "text", "length", "semantic", "hybrid"])
         texts = [s["text"] for s in segments]
         unit = _unit(encode(pd.Series(texts)))
-        groups = merge_segments([s["type"] for s in segments], texts, unit @ unit.T, limit, cap, 0.8 * longest if scanned else None)
+        groups = merge_segments([s["type"] for s in segments], texts, _Cosines(unit), limit, cap, 0.8 * longest if scanned else None)
         return _frame(pdf["doc_id"].iloc[0], ["\n\n".join(texts[i] for i in g) for g in groups], True, False)
 
-    return segmented.select("doc_id", "segments").groupBy("doc_id").applyInPandas(run, CHUNKS)
+    return segmented.select("doc_id", "segments").groupBy("doc_id").applyInPandas(run, _schema(segmented))
 
 
 def hybrid_chunks(chunks: DataFrame, embedder: Embedder | None = None, threshold: float = 0.65, longest: int = 1000, scanned: bool = False) -> DataFrame:
@@ -64,20 +78,20 @@ def hybrid_chunks(chunks: DataFrame, embedder: Embedder | None = None, threshold
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf.sort_values("chunk_no")["text"].tolist()
         unit = _unit(encode(pd.Series(texts)))
-        cos, used, out = unit @ unit.T, [False] * len(texts), []
+        cos, used, out = _Cosines(unit), [False] * len(texts), []
         for i in range(len(texts)):
             if used[i]:
                 continue
             group, size = [texts[i]], len(texts[i])
-            for j in range(i + 1, len(texts)):
-                if not used[j] and cos[i, j] >= limit and size + len(texts[j]) <= cap:
+            for j in np.flatnonzero(cos[i] >= limit).tolist():
+                if j > i and not used[j] and size + len(texts[j]) <= cap:
                     used[j] = True
                     group.append(texts[j])
                     size += len(texts[j])
             out.append("\n\n".join(group))
         return _frame(pdf["doc_id"].iloc[0], out, False, True)
 
-    return chunks.select("doc_id", "chunk_no", "text").groupBy("doc_id").applyInPandas(run, CHUNKS)
+    return chunks.select("doc_id", "chunk_no", "text").groupBy("doc_id").applyInPandas(run, _schema(chunks))
 
 
 def _frame(doc_id, texts: list[str], semantic: bool, hybrid: bool) -> pd.DataFrame:
