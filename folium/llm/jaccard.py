@@ -18,8 +18,8 @@ Distance is d = 1 - Jaccard, a metric; links are pairs within r = 1 - threshold.
    allows a link at every pivot of the region: lo(y) - hi(x) <= r and lo(x) - hi(y) <= r.  That
    replicates into a pivot's region the members across its border that may link into it, and no others.
 5. Recursion.  Members without a home in a region of more than ``REGION`` form a region of their own
-   with new pivots, until regions are small, of one component, or no pivot takes a tenth of them in;
-   those are joined under all windows (distances, sizes, ranks, counts and bitmaps of shared prefix
+   with new pivots, until regions are small, of one component, or pivots take less than a quarter of
+   them in; those are joined under all windows (distances, sizes, ranks, counts and bitmaps of shared prefix
    entries).  What survives is compared on whole sets.
 6. Components of all links; the class' smallest document id names them.
 
@@ -50,7 +50,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folium.llm.graph import components
+from folium.llm.graph import components, joined
 from folium.session import materialize, released, settled, ship
 
 #: Frequent shingles put last: at most this many (8 bytes each), the most frequent ones.
@@ -58,7 +58,7 @@ HEAVY_KEYS = 2_000_000
 #: Prefixes a shingle may stand in before it is put last; times the regions are formed anew for that.
 OVERSIZE, ANEW = 1_000, 3
 #: Members of a region that get one pivot; most pivots of a larger one.
-REGION, PIVOTS = 64, 16
+REGION, PIVOTS = 128, 16
 #: Entries of a shard; shingles a task counts together; entries it holds before it sends them; words it remembers.
 SHARD_ENTRIES, COUNTED, FLUSH, REMEMBERED = 150_000, 2_000_000, 600_000, 200_000
 #: Rows of a side (16 bytes each at most) that is broadcast; larger ones are joined by shuffle.
@@ -510,12 +510,12 @@ def _join(documents: DataFrame, p: JaccardParams, key: str, text: str) -> tuple[
         found = measured(materialize(star.select(F.col("a.class").alias("a"), F.col("e.class").alias("b")).distinct()))
         linked = found.where("linked").select("a", "b")
         edges = linked if edges is None else edges.unionByName(linked)
-        roots = components(edges)
+        roots = components(linked) if level == 0 else joined(roots, linked)
         members = _open_members(cells, pivots, roots, found, p)
-        # A cell goes on to the next level if it is large and its pivots took a tenth of it in.
+        # A cell goes on to the next level if it is large and its pivots took a quarter of it in.
         kept = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("taken"))
         on = F.col("n") - F.col("taken") > REGION
-        going = materialize(kept.where(on & (F.col("taken") * 10 > F.col("n"))).select(F.col("cell").alias("going")))
+        going = materialize(kept.where(on & (F.col("taken") * 4 > F.col("n"))).select(F.col("cell").alias("going")))
         members = settled(members.join(_side(going), F.col("cell") == F.col("going"), "left").withColumn("again", F.col("going").isNotNull()).drop("going"))
         pairs = _boundary(members, p)
         boundary = pairs if boundary is None else boundary.unionByName(pairs)
@@ -525,8 +525,8 @@ def _join(documents: DataFrame, p: JaccardParams, key: str, text: str) -> tuple[
             break
     pairs = settled(boundary.distinct())
     if not pairs.isEmpty():
-        edges = edges.unionByName(measured(pairs).where("linked").select("a", "b"))
-        roots = components(edges)
+        linked = measured(pairs).where("linked").select("a", "b")
+        edges, roots = edges.unionByName(linked), joined(roots, linked)
     return rows, edges, roots, seed
 
 

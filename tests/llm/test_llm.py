@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folium.llm import exact_dedup, flac, html_extract, jaccard, licenses, lm_score, mixing, packing, preference, quality
-from folium.llm.graph import components
+from folium.llm.graph import components, joined
 from folium.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, part string, digest string, key string, row int"
@@ -189,6 +189,8 @@ def test_components(spark):
     got = {(x["node"], x["root"]) for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(x, least[find(x)]) for x in touched}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    some, rest = (spark.createDataFrame(e, "a long, b long") for e in (edges[:120], edges[120:]))
+    assert {(x["node"], x["root"]) for x in joined(components(some), rest).collect()} == {(x, least[find(x)]) for x in touched}
 
 
 # --- licences -----------------------------------------------------------------------------------

@@ -21,6 +21,6 @@ def test_same_as_sql(spark, tmp_path, name):
     duck.sql("CREATE TABLE o AS " + Q.ORACLE_SQL[name])
     duck.sql(f"CREATE TABLE s AS SELECT * FROM '{tmp_path}/s/*.parquet'")
     columns = ", ".join(f'"{r[0]}"' for r in duck.sql("DESCRIBE o").fetchall())
-    assert duck.sql("SELECT count(*) FROM o").fetchone()[0] > 0
+    assert duck.sql("SELECT count(*) FROM o").fetchall()[0][0] > 0
     for a, b in (("o", "s"), ("s", "o")):
         assert duck.sql(f"SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b}").fetchall()[:3] == []
