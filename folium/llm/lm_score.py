@@ -54,7 +54,7 @@ from folium.session import materialize, released, ship, sweep
 #: Text bytes of a stretch, its documents at most, and text bytes whose lists a shard is meant to get.
 STRETCH_BYTES, STRETCH_DOCS, SHARD_BYTES = 6_000_000, 4_000, 8_000_000
 #: Bits of a context's hash beyond those that number the contexts; levels of a hit-or-miss decision's cell.
-SPARE_BITS = 12
+SPARE_BITS = 10
 SEEN, SURE, RUN = 6, 8, 8
 CELLS = SEEN * SURE * RUN * 2
 #: log2 of slots per context table; contexts: bytes of history each predictor hashes (0: position only).
@@ -106,7 +106,8 @@ def _unplaned(blob: bytes, dtype: str) -> np.ndarray:
 
 
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    """48-bit hashes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)) >> np.uint64(16)
 
 
 def contexts_of(ids: np.ndarray, first: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,33 +127,43 @@ def contexts_of(ids: np.ndarray, first: np.ndarray, hashes: np.ndarray, bits: in
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    return h >> np.uint64(64 - bits), (own >> np.uint64(48)).astype(np.uint16)
+    return h >> np.uint64(64 - bits), (own >> np.uint64(32)).astype(np.uint16)
 
 
 def _counted(q: np.ndarray, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (context, print) in order, with the sum of their n."""
     if not len(q):
         return q, f, n
-    o = np.lexsort((f, q))
+    if int(q.max()) >> 48:
+        o = np.lexsort((f, q))
+    else:  # both in one word
+        o = np.argsort((q << np.uint64(16)) | f)
     q, f, n = q[o], f[o], n[o]
     at = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (f[1:] != f[:-1])])
     return q[at], f[at], np.add.reduceat(n, at)
 
 
 def successors(q: np.ndarray, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of counted (context, print): contexts, totals, and the two most frequent prints with their counts.
+    """Of counted (context, print) in order: contexts, totals, and the two most frequent prints with their counts.
 
     The smaller print goes first among equals; a missing second has count 0.
     """
     if not len(q):
         return q, n, f, n, f, n
-    o = np.lexsort((f, -n, q))
-    q, f, n = q[o], f[o], n[o]
     at = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-    end = np.r_[at[1:], len(q)]
-    has = end - at > 1
-    later = np.where(has, np.minimum(at + 1, len(q) - 1), at)
-    return q[at], np.add.reduceat(n, at), f[at], n[at], f[later], np.where(has, n[later], 0)
+    size = np.diff(np.r_[at, len(q)])
+    q_of, total, f1, n1 = q[at], np.add.reduceat(n, at), f[at].copy(), n[at].copy()
+    f2, n2 = f1.copy(), np.zeros_like(n1)
+    several = np.flatnonzero(size > 1)
+    if len(several):  # most contexts have one successor
+        inside = np.repeat(size > 1, size)
+        group = np.repeat(np.arange(len(several)), size[several])
+        f, n = f[inside], n[inside]
+        o = np.lexsort((f, -n, group))
+        f, n = f[o], n[o]
+        first = np.cumsum(size[several]) - size[several]
+        f1[several], n1[several], f2[several], n2[several] = f[first], n[first], f[first + 1], n[first + 1]
+    return q_of, total, f1, n1, f2, n2
 
 
 # --- stage 1: stretches -------------------------------------------------------------------------
@@ -208,9 +219,9 @@ def _stretches(documents: DataFrame, shards: int, bits: int, key: str, text: str
             keys = np.array([k if k is not None else 0 for k in ids], np.int64)
             bundle = b"".join(_framed(x) for x in (
                 _planes(keys), _planes(np.array([k is None for k in ids], np.uint8)), _planes(np.array(outs, np.uint8)),
-                _planes(np.array(sizes, np.int64)), _planes(lengths), _planes(sequence), _pack(b"\n".join(numbered)),
+                _planes(np.array(sizes, np.int64)), _planes(lengths), _planes(sequence),
             ))
-            rows.append((-1 - stretch, stretch, None, None, bundle, len(numbered)))
+            rows.append((-1 - stretch, stretch, None, None, bundle, 0))
             for held in (ids, outs, sizes, docs):
                 held.clear()
             size = 0
@@ -506,20 +517,27 @@ def decisions(ids: np.ndarray, lengths: np.ndarray, trained: np.ndarray, q: np.n
         for target, k, dtype in ((f1, 1, "<u2"), (n1, 2, "<u4"), (f2, 3, "<u2"), (n2, 4, "<u4")):
             target[at] = np.concatenate([_unplaned(x[k], dtype) for x in frames])
     which = np.searchsorted(own_q, q)
+    # Only tokens whose context was counted elsewhere: all places of a document's context are among them, or none is.
+    at = np.flatnonzero(total[which] > counted)
+    there, own, print_ = which[at], counted[at], f[at].astype(np.int64)
+    place = doc[at] * np.int64(len(own_q)) + there
     # What the document itself was counted for: under the context, and for the context's two successors.
-    place = doc * np.int64(len(own_q)) + which
-    mine = (place << np.int64(16)) | f.astype(np.int64)
-    keys, often = np.unique(mine, return_counts=True)
-    places, under = np.unique(place, return_counts=True)
-    one = lambda pool, size, x: np.where(pool[np.minimum(np.searchsorted(pool, x), len(pool) - 1)] == x, size[np.minimum(np.searchsorted(pool, x), len(pool) - 1)], 0)
-    t = total[which] - counted * under[np.searchsorted(places, place)]
-    c1 = n1[which] - counted * one(keys, often, (place << np.int64(16)) | f1[which].astype(np.int64))
-    c2 = n2[which] - counted * one(keys, often, (place << np.int64(16)) | f2[which].astype(np.int64))
+    keys, often = np.unique((place << np.int64(16)) | print_, return_counts=True)
+    _, back, under = np.unique(place, return_inverse=True, return_counts=True)
+
+    def less_own(successor: np.ndarray, count: np.ndarray) -> np.ndarray:
+        key = (place << np.int64(16)) | successor[there].astype(np.int64)
+        found = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        return count[there] - own * np.where(keys[found] == key, often[found], 0) if len(keys) else count[there]
+
+    t_at = total[there] - own * under[back]
+    c1, c2 = less_own(f1, n1), less_own(f2, n2)
     first_leads = c1 >= c2
-    best = np.where(first_leads, c1, c2)
-    guess = np.where(first_leads, f1[which], f2[which])
-    known = (t > 0) & (best > 0)
-    hit = known & (guess == f)
+    t, best = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    known, hit = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    t[at], best[at] = t_at, np.where(first_leads, c1, c2)
+    known[at] = (t_at > 0) & (best[at] > 0)
+    hit[at] = known[at] & (np.where(first_leads, f1[there], f2[there]) == print_)
     index = np.arange(len(ids))
     start = np.repeat(np.cumsum(lengths) - lengths, lengths)
     # The last token before this one that was no hit; the place before a document counts as one.
@@ -618,21 +636,22 @@ def _documents(pdf: pd.DataFrame, bits: int, distinct: int, everything: int) ->
     kept = pdf[pdf["kind"] == 0]
     if not len(kept):
         return pd.DataFrame({c.split()[0]: [] for c in _DOCUMENT.split(", ")})
-    keys, nulls, outs, sizes, lengths, sequence, tokens = _frames(kept["a"].iloc[0])
+    keys, nulls, outs, sizes, lengths, sequence = _frames(kept["a"].iloc[0])
     keys, nulls, outs, sizes, lengths = _unplaned(keys, "<i8"), _unplaned(nulls, "u1"), _unplaned(outs, "u1"), _unplaned(sizes, "<i8"), _unplaned(lengths, "<i8")
     ids = _unplaned(sequence, "<u4").astype(np.int64)
-    words = _unpack(tokens).split(b"\n")
     first = np.cumsum(lengths) - lengths
     of = lambda kind: pdf[pdf["kind"] == kind].sort_values("shard")
     c = np.concatenate([_unplaned(b, "<i8") for b in of(3)["a"]]).astype(np.float64)
-    mixed = 10.0 ** (np.concatenate([np.frombuffer(_unpack(b), "<f4") for b in of(3)["b"]]).astype(np.float64) * np.log10(2.0))
-    q, f = contexts_of(ids, first, token_hashes(words), bits)
+    parts = [_frames(b) for b in of(3)["b"]]
+    mixed = 10.0 ** (np.concatenate([np.frombuffer(_unpack(x[0]), "<f4") for x in parts]).astype(np.float64) * np.log10(2.0))
+    hashes = np.concatenate([_unplaned(x[1], "<u8") for x in parts])
+    q, f = contexts_of(ids, first, hashes, bits)
     cell, hit = decisions(ids, lengths, outs == 0, q, f, list(of(1)["b"]))
     doc = np.repeat(np.arange(len(lengths)), lengths)
     # The tokens that are not hits, as (which, how often) of each document; every document has a group.
-    left = doc[~hit] * np.int64(len(words)) + ids[~hit]
+    left = doc[~hit] * np.int64(len(c)) + ids[~hit]
     pairs, often = np.unique(left, return_counts=True)
-    owner, which = pairs // len(words), pairs % len(words)
+    owner, which = pairs // len(c), pairs % len(c)
     rest = np.zeros(len(lengths))
     have, begin = np.unique(owner, return_index=True)
     if len(have):
@@ -672,11 +691,11 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     mixer = _mixer(vocabulary, lambda: table.value)
 
     def answer(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        """For each list of a shard: the counts and mixed log2 probabilities of its tokens."""
+        """For each list of a shard: the counts, mixed log2 probabilities and hashes of its tokens."""
         tokens, counts = _open_vocabulary(words["a"].iloc[0], words["b"].iloc[0]) if len(words) else ([], np.zeros(0, np.int64))
-        value = token_bits(tokens, table.value, mixer).astype("<f4")
+        value, hashes = token_bits(tokens, table.value, mixer).astype("<f4"), token_hashes(tokens)
         lists = [_unplaned(b, "<u4") for b in asked["a"]]
-        return pd.DataFrame({"kind": 3, "stretch": asked["stretch"], "shard": asked["shard"], "a": [_planes(counts[x]) for x in lists], "b": [_pack(value[x].tobytes()) for x in lists]})
+        return pd.DataFrame({"kind": 3, "stretch": asked["stretch"], "shard": asked["shard"], "a": [_planes(counts[x]) for x in lists], "b": [_framed(_pack(value[x].tobytes())) + _framed(_planes(hashes[x])) for x in lists]})
 
     columns = ("kind", "stretch", "shard", "a", "b")
     schema = "kind int, stretch long, shard int, a binary, b binary"
