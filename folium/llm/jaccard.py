@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folium.llm.graph import components, joined
-from folium.session import materialize, released, settled, ship
+from folium.session import materialize, released, settled, ship, sweep
 
 #: Frequent shingles put last: at most this many (8 bytes each), the most frequent ones.
 HEAVY_KEYS = 2_000_000
@@ -478,6 +478,7 @@ def _regions(documents: DataFrame, scanned: DataFrame, p: JaccardParams, text: s
     shards = max(64, -(-total * (100 - p.percent) // 100 // SHARD_ENTRIES))
     for _ in range(ANEW):
         entries = materialize(_shared(_entries(documents, p, text, heavy, shards, seed)))
+        sweep(documents.sparkSession)  # the entries as they were exchanged
         # Keys put last have their top bit set, and so are negative here.
         sizes = entries.where("key >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERSIZE)
         more = _most_frequent(sizes.select(F.col("key").alias("class"), "n"), HEAVY_KEYS - len(heavy), total)
