@@ -11,7 +11,9 @@ Up to 8 channels of 4 to 24 bits are read, joint stereo included; whatever is wr
 ``FlacError`` (one error row from ``decode_blocks``).
 The encoder writes one channel of signed 8-bit samples in blocks of 1024.
 
-Everything is a map over rows in slices of bounded bytes: no shuffle, so no hot key.
+Everything is a map over rows in slices of bounded bytes: no shuffle, so no hot key.  ``round_trip`` stores
+the streams of a share of the rows at a time, reads them back, and removes them before the next share;
+only copies of one and the same row always share.
 
 Cases: null text counts as empty, an empty text is 64 zero bytes; damaged streams raise ``FlacError``
 naming the check that failed, or give a row with ``error`` in ``decode_blocks``; repeated rows give
@@ -24,13 +26,13 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folium.session import materialize, released, ship
+from folium.session import materialize, released, removed, shared_folder, ship
 
 BLOCK = 1024
 RATE = 8000
@@ -38,6 +40,8 @@ LPC_ORDER = 4
 PRECISION = 12
 #: Payload bytes coded at once by a Python worker; a longer text is a slice of its own.
 SLICE_BYTES = 2_500_000
+#: Shares of the rows whose streams are stored one after another.
+WAVES = 4
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
 
@@ -745,6 +749,18 @@ def read_back(media: DataFrame, key: str = "doc_id", content: str = "media") ->
     )
 
 
-def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text as FLAC in the shared folder, read the stored bytes back, and describe what was read."""
-    return read_back(materialize(encode_texts(documents, key, text)))
+def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text", waves: int = WAVES) -> DataFrame:
+    """Store every text as FLAC in the shared folder, read the stored bytes back, and describe what was read.
+
+    Rows go in ``waves`` by a hash of key and text, so the table is read as many times and must read the same each
+    time; only rows equal in both always go together.  To keep the streams, write what ``encode_texts`` returns.
+    """
+    spark = documents.sparkSession
+    share = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(waves))
+    described = []
+    for wave in range(waves):
+        streams = encode_texts(documents.where(share == wave), key, text)
+        with removed(spark, shared_folder(spark)) as folder:
+            streams.write.option("compression", "zstd").parquet(folder)
+            described.append(materialize(read_back(spark.read.schema(streams.schema).parquet(folder))))
+    return reduce(DataFrame.unionAll, described)

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from folium.llm import exact_dedup, flac, html_extract, jaccard, licenses, lm_score, mixing, packing, preference, quality
 from folium.llm.graph import components, joined
 from folium.llm.queries import tokenizer_path
+from folium.session import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, part string, digest string, key string, row int"
 
@@ -249,6 +252,31 @@ def test_flac_damage_and_forms():
     assert all((x == y).all() for x, y in zip(a, b, strict=True))
 
 
+def test_flac_store_holds_a_share_at_a_time(spark, monkeypatch):
+    """All streams are stored, never more than a part of them at once, and none is left behind."""
+    texts = [*ODD, *(words(2000, i) for i in range(60))]
+    d = corpus(spark, texts, ids=[i // 2 for i in range(len(texts))])
+    ensure_checkpoint_dir(spark)
+    root = Path(re.sub("^file:/*", "/", spark.sparkContext.getCheckpointDir()))
+    size = lambda: sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
+    before, stored, read_back = size(), [], flac.read_back
+    monkeypatch.setattr(flac, "read_back", lambda *a: stored.append(size() - before) or read_back(*a))
+    rows = flac.round_trip(d).collect()
+    media = sum(r["media_bytes"] for r in rows)
+    want = sorted((i // 2, hashlib.sha256(flac.payload_of(t)).hexdigest()) for i, t in enumerate(texts))
+    assert sorted((r["doc_id"], r["payload_sha256"]) for r in rows) == want
+    assert stored and max(stored) < 0.5 * media and size() - before < 0.2 * media
+
+    def fails(*_):
+        raise RuntimeError("not read")
+
+    monkeypatch.setattr(flac, "read_back", fails)
+    before = size()
+    with pytest.raises(RuntimeError):
+        flac.round_trip(d)
+    assert size() == before
+
+
 # --- pages --------------------------------------------------------------------------------------
 
 
