@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -110,11 +111,26 @@ def correct_documents(documents: DataFrame, dictionary: DataFrame, key: str = "d
 
 
 def difference(a: Column, b: Column) -> Column:
-    """struct<count, percent>: positions at which two texts differ, over their common length."""
-    shorter = F.least(F.char_length(a), F.char_length(b))
-    pairs = F.zip_with(F.slice(F.split(a, ""), F.lit(1), shorter), F.slice(F.split(b, ""), F.lit(1), shorter), lambda x, y: (x != y).cast("int"))
-    count = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
-    return F.struct(count.alias("count"), F.when(F.char_length(a) > 0, F.round(count * F.lit(100.0) / F.char_length(a), 2)).otherwise(F.lit(0.0)).alias("percent"))
+    """struct<count, percent>: positions at which two texts differ, over their common length; null if either text is.
+
+    Characters are compared as arrays of code points, an Arrow batch at a time.  The percentage is rounded as
+    SQL's round of a double is: the hundredfold to a whole number, and back.
+    """
+
+    @F.pandas_udf("int")
+    def differing(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x: str | None, y: str | None) -> int | None:
+            if x is None or y is None:
+                return None
+            n = min(len(x), len(y))
+            points = lambda t: np.frombuffer(t[:n].encode("utf-32-le"), np.uint32)
+            return 0 if x == y else int(np.count_nonzero(points(x) != points(y)))
+
+        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], index=left.index, dtype="Int32")
+
+    count, size = differing(a, b), F.char_length(a)
+    share = lambda n: F.when(size > 0, F.round(n * F.lit(100.0) / size * 100) / 100).when(n.isNotNull(), F.lit(0.0))
+    return let(count, lambda n: F.struct(n.alias("count"), share(n).alias("percent")))
 
 
 def apply_provider(words: DataFrame, provider) -> DataFrame:
