@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -102,11 +104,79 @@ def _frame(doc_id, texts: list[str], semantic: bool, hybrid: bool) -> pd.DataFra
     })
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Pairs of one group (a document, a cell) whose cosine reaches the threshold, smaller key first."""
-    from folium.functions.vectors import cosine
+#: Vectors of a block: an eighth of their group within these bounds.  Two blocks meet in one piece of work.
+BLOCK_ROWS = (2048, 16384)
+#: Rows of a block multiplied at a time.
+TILE_ROWS = 512
+
 
-    a, b = vectors.alias("a"), vectors.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    scored = pairs.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a_id"), F.col(f"b.{key}").alias("b_id"), cosine(F.col(f"a.{vector}"), F.col(f"b.{vector}")).alias("cosine"))
-    return scored.where(F.col("cosine") >= threshold)
+def similar_pairs(vectors: DataFrame, threshold: float, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Pairs of one group (a document, a cell) whose cosine reaches the threshold, smaller key first.
+
+    A group is dealt into blocks, and every two blocks meet in one piece of work: a product of matrices in single
+    precision finds pairs near the threshold, and their cosines are then summed in double precision, element by
+    element as SQL does.  A piece holds two blocks and one tile of products, whatever the size of its group.
+    """
+    kinds = dict(vectors.dtypes)
+    named = vectors.select(F.col(group).alias("g"), F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    given = named.where("g IS NOT NULL AND k IS NOT NULL AND v IS NOT NULL").where(~F.exists("v", F.isnull)).withColumn("size", F.size("v"))
+    least, most = BLOCK_ROWS
+    sizes = given.groupBy("g", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col("n") / 8)))).cast("int"))
+    pieces = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    spread = int(min(4000, max(pieces, vectors.sparkSession.sparkContext.defaultParallelism)))
+    own = given.join(sizes.select("g", "size", "blocks"), ["g", "size"]).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = ["g", "size", "i", "j"]
+    met = other.select("g", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "v")
+    dealt = met.repartition(spread, *unit).sortWithinPartitions(*unit)
+
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        dot, left, right = (np.zeros(len(a)) for _ in range(3))
+        for d in range(a.shape[1]):
+            x, y = a[:, d], b[:, d]
+            dot, left, right = dot + x * y, left + x * x, right + y * y
+        length = np.sqrt(left) * np.sqrt(right)
+        return np.where((length > 0) | np.isnan(length), dot / length, -np.inf)
+
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not rows["size"].iloc[0]:
+            return
+        first = (rows["own"] == rows["i"]).to_numpy()
+        m, k, same = np.stack(rows["v"].to_numpy()), rows["k"].to_numpy(), rows["i"].iloc[0] == rows["j"].iloc[0]
+        near = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+        a, b = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+        right, slack = near[b].T.copy(), max(1e-4, 2e-7 * m.shape[1])
+        for start in range(0, len(a), TILE_ROWS):
+            x, y = np.nonzero(~(near[a[start : start + TILE_ROWS]] @ right < threshold - slack))
+            x += start
+            if same:
+                x, y = x[x < y], y[x < y]
+            for at in range(0, len(x), 100_000):
+                i, j = a[x[at : at + 100_000]], b[y[at : at + 100_000]]
+                cos = exact(m[i], m[j])
+                kept = ~(cos < threshold) & (k[i] != k[j])
+                i, j, cos = i[kept], j[kept], cos[kept]
+                swap = (k[i] > k[j]).astype(bool)
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pd.DataFrame({group: rows["g"].to_numpy()[i], "a_id": k[i], "b_id": k[j], "cosine": cos})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                names = [batch[c].to_numpy() for c in unit]
+                new = np.any([(n[1:] != n[:-1]).astype(bool) for n in names], axis=0)
+                cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+                for start, end in zip(cuts, cuts[1:], strict=False):
+                    part = batch.iloc[start:end]
+                    if held and any(held[0][c].iloc[0] != part[c].iloc[0] for c in unit):
+                        yield from pairs(pd.concat(held))
+                        held = []
+                    held.append(part)
+            if held:
+                yield from pairs(pd.concat(held))
+
+    return dealt.mapInPandas(run, f"`{group}` {kinds[group]}, a_id {kinds[key]}, b_id {kinds[key]}, cosine double")

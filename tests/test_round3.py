@@ -5,8 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folium.functions.vectors import cosine
+from folium.operators import chunking
 
 
 def against_sql(spark, folder, name, rows):
@@ -25,3 +28,17 @@ ODD = [(1, ""), (2, None), (3, "e"), (4, "a\u00e9\U0001f600e"), (5, "e" * 393 +
 def test_null_empty_and_rounding_as_sql(spark, tmp_path, name):
     ours, sql = against_sql(spark, tmp_path, name, ODD)
     assert ours == sql
+
+
+def test_pairs_of_blocks_as_pairs_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "BLOCK_ROWS", (4, 8))
+    monkeypatch.setattr(chunking, "TILE_ROWS", 3)
+    vectors = [(n % 3 if n % 17 else None, n // 2 * 2 if n < 8 else n, [float(n % 7), float(n * n % 11), 1.0][: 2 + (n % 5 > 0)]) for n in range(90)]
+    vectors += [(0, 900, [0.0, 0.0, 0.0]), (0, 901, None), (0, None, [1.0, 1.0, 1.0]), (0, 902, [1.0, None, 1.0]), (0, 903, []), (0, 904, [])]
+    rows = spark.createDataFrame(vectors, "label int, vec_id long, embedding array<float>")
+    a, b = rows.alias("a"), rows.alias("b")
+    every = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    wanted = every.select("a.label", "a.vec_id", "b.vec_id", cosine(F.col("a.embedding"), F.col("b.embedding")).alias("c")).where("c >= 0.8")
+    found = chunking.similar_pairs(rows, 0.8, "label")
+    assert "Join" not in found.select("cosine")._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[0]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) and found.count() > 100
