@@ -98,6 +98,12 @@ _ENTRY = re.compile("|".join(f"(?:{p})" for p in fixed.TOC_ENTRIES))
 _LOOSE = ("contents", "index", "indice", "sommario", "índice", "sommaire", "inhalt", "sumário", "obsah", "cuprins")
 
 
+def _ends_in_number(line: str) -> bool:
+    """White space, digits and white space at the end, as every entry form has it: others need not be tried, each a search through the line."""
+    last = line.rsplit(None, 1)[1:]
+    return bool(last) and last[0].isdecimal()
+
+
 def find_toc(text: str | None, least: int = 3, most: int = 150) -> tuple[str, list[str]] | None:
     """Title and entry lines of the table of contents in the first 15 000 characters.
 
@@ -127,7 +133,7 @@ def find_toc(text: str | None, least: int = 3, most: int = 150) -> tuple[str, li
     for line in [*rest, *[x for b in blocks[at + 1 : at + 41] for x in b.split("\n")]]:
         if not line.strip():
             continue
-        if _ENTRY.match(line):
+        if _ends_in_number(line) and _ENTRY.match(line):
             lines.append(line)
             misses = 0
         else:
@@ -146,11 +152,11 @@ def detect(documents: DataFrame, key: str = "doc_id", text: str = "text", least:
             yield pd.DataFrame({"doc_id": [k for k, _, _ in found], "title": pd.Series([t for _, t, _ in found], dtype=object), "lines": pd.Series([x for _, _, x in found], dtype=object)})
 
     lines = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, title string, lines array<string>")
-    entry = lambda x: F.struct(
-        entry_parts(x)["title"].alias("title"), entry_parts(x)["page"].alias("page"),
+    entry = lambda x: let(entry_parts(x), lambda p: F.struct(
+        p["title"].alias("title"), p["page"].alias("page"),
         F.least(F.floor((F.char_length(x) - F.char_length(F.ltrim(x))) / 2), F.lit(3)).cast("int").alias("level"), F.trim(x).alias("text"),
-        entry_parts(x)["section"].alias("section"),
-    )
+        p["section"].alias("section"),
+    ))
     entries = entry_levels(F.transform("lines", entry))
     return lines.select("doc_id", "title", entries.alias("entries")).select(
         "*", F.size("entries").alias("entry_count"), toc_language(F.col("title"), F.col("entries")).alias("language")
