@@ -51,13 +51,39 @@ def blend(text: Column | str, summary: Column | str, weight: float = 0.3) -> Col
     return unit(mixed)
 
 
+#: Features of which a worker remembers the place; then it begins anew.
+REMEMBERED = 300_000
+
+
+class _Places(dict):
+    """feature -> its place: below the dimension where it counts up, above where it counts down; hashed when first asked for."""
+
+    def __init__(self, dimension: int):
+        self.dimension = dimension
+
+    def __missing__(self, feature: str) -> int:
+        h = int.from_bytes(hashlib.md5(feature.encode("utf-8", "replace")).digest()[:8], "big")
+        place = h % self.dimension + (0 if h >> 63 else self.dimension)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[feature] = place
+        return place
+
+
+_PLACES: dict[int, _Places] = {}
+_WORDS = re.compile(r"\w+")
+
+
 def hash_embedding(text: str | None, dimension: int = DIMENSION) -> np.ndarray:
     """Signed feature hashing of words and word pairs, at length one; zeros for a text without words."""
-    out = np.zeros(dimension, np.float32)
-    words = re.findall(r"\w+", (text or "").lower())
-    for feature in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-        h = int.from_bytes(hashlib.md5(feature.encode("utf-8", "replace")).digest()[:8], "big")
-        out[h % dimension] += 1.0 if h >> 63 else -1.0
+    words = _WORDS.findall((text or "").lower())
+    if not words:
+        return np.zeros(dimension, np.float32)
+    places = _PLACES.get(dimension) or _PLACES.setdefault(dimension, _Places(dimension))
+    found = [places[w] for w in words]
+    found += [places[p] for p in map(" ".join, zip(words, words[1:], strict=False))]
+    counts = np.bincount(found, minlength=2 * dimension)
+    out = (counts[:dimension] - counts[dimension:]).astype(np.float32)
     size = float(np.linalg.norm(out))
     return out / size if size else out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folium.functions.vectors import Embedder, hashing_embedder
 
+COLUMNS = ["doc_id", "chunk_no", "chunk_id", "text", "length", "semantic", "hybrid"]
 CHUNKS = "chunk_no int, chunk_id string, text string, length int, semantic boolean, hybrid boolean"
 
 
@@ -53,22 +54,40 @@ def merge_segments(types: list[str], texts: list[str], cos: np.ndarray | _Cosine
     return out
 
 
+#: Characters of finished chunks that a worker hands on at a time.
+YIELD_CHARS = 4_000_000
+
+
+def _of_documents(documents: DataFrame, schema: str, chunk: Callable[[list[str], list[str]], list[str]], semantic: bool) -> DataFrame:
+    """``doc_id, types, texts``, a row a document -> its chunks; many documents make one table, not each its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, held = [], 0
+            for doc_id, types, texts in zip(batch["doc_id"], batch["types"], batch["texts"], strict=True):
+                found += [(doc_id, n, f"chunk_{n}", t, len(t), semantic, not semantic) for n, t in enumerate(chunk(list(types), list(texts)), 1)]
+                held += sum(map(len, texts))
+                if held >= YIELD_CHARS:
+                    yield pd.DataFrame(found, columns=COLUMNS)
+                    found, held = [], 0
+            if found:
+                yield pd.DataFrame(found, columns=COLUMNS)
+
+    return documents.mapInPandas(run, schema)
+
+
 def semantic_chunks(segmented: DataFrame, embedder: Embedder | None = None, threshold: float = 0.65, longest: int = 1000, scanned: bool = False) -> DataFrame:
     """``doc_id, segments`` -> chunks of segments that are alike; a document is the unit of work."""
     encode = embedder or hashing_embedder()
     limit = max(0.45, threshold - 0.15) if scanned else threshold
     cap = min(1.2 * longest, 1200) if scanned else 1.5 * longest
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        segments = [s for row in pdf["segments"] for s in row if s["length"] >= 5]
-        if not segments:
-            return pd.DataFrame(columns=["doc_id", "chunk_no", "chunk_id", "text", "length", "semantic", "hybrid"])
-        texts = [s["text"] for s in segments]
-        unit = _unit(encode(pd.Series(texts)))
-        groups = merge_segments([s["type"] for s in segments], texts, _Cosines(unit), limit, cap, 0.8 * longest if scanned else None)
-        return _frame(pdf["doc_id"].iloc[0], ["\n\n".join(texts[i] for i in g) for g in groups], True, False)
+    def chunk(types: list[str], texts: list[str]) -> list[str]:
+        groups = merge_segments(types, texts, _Cosines(_unit(encode(pd.Series(texts)))), limit, cap, 0.8 * longest if scanned else None)
+        return ["\n\n".join(texts[i] for i in g) for g in groups]
 
-    return segmented.select("doc_id", "segments").groupBy("doc_id").applyInPandas(run, _schema(segmented))
+    whole = segmented.groupBy("doc_id").agg(F.filter(F.flatten(F.collect_list("segments")), lambda s: s["length"] >= 5).alias("s")).where("size(s) > 0")
+    return _of_documents(whole.select("doc_id", F.col("s.type").alias("types"), F.col("s.text").alias("texts")), _schema(segmented), chunk, True)
 
 
 def hybrid_chunks(chunks: DataFrame, embedder: Embedder | None = None, threshold: float = 0.65, longest: int = 1000, scanned: bool = False) -> DataFrame:
@@ -77,10 +96,8 @@ def hybrid_chunks(chunks: DataFrame, embedder: Embedder | None = None, threshold
     limit = max(0.5, threshold - 0.1) if scanned else threshold
     cap = (1.2 if scanned else 1.5) * longest
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values("chunk_no")["text"].tolist()
-        unit = _unit(encode(pd.Series(texts)))
-        cos, used, out = _Cosines(unit), [False] * len(texts), []
+    def chunk(_: list[str], texts: list[str]) -> list[str]:
+        cos, used, out = _Cosines(_unit(encode(pd.Series(texts)))), [False] * len(texts), []
         for i in range(len(texts)):
             if used[i]:
                 continue
@@ -91,17 +108,10 @@ def hybrid_chunks(chunks: DataFrame, embedder: Embedder | None = None, threshold
                     group.append(texts[j])
                     size += len(texts[j])
             out.append("\n\n".join(group))
-        return _frame(pdf["doc_id"].iloc[0], out, False, True)
-
-    return chunks.select("doc_id", "chunk_no", "text").groupBy("doc_id").applyInPandas(run, _schema(chunks))
-
+        return out
 
-def _frame(doc_id, texts: list[str], semantic: bool, hybrid: bool) -> pd.DataFrame:
-    n = range(1, len(texts) + 1)
-    return pd.DataFrame({
-        "doc_id": doc_id, "chunk_no": list(n), "chunk_id": [f"chunk_{i}" for i in n], "text": texts, "length": [len(t) for t in texts],
-        "semantic": semantic, "hybrid": hybrid,
-    })
+    whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("s"))
+    return _of_documents(whole.select("doc_id", F.array().cast("array<string>").alias("types"), F.col("s.text").alias("texts")), _schema(chunks), chunk, False)
 
 
 #: Vectors of a block: an eighth of their group within these bounds.  Two blocks meet in one piece of work.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folium.functions.vectors import cosine
-from folium.operators import chunking
+from folium.operators import chunking, trained
 
 
 def against_sql(spark, folder, name, rows):
@@ -42,3 +42,67 @@ def test_pairs_of_blocks_as_pairs_of_rows(spark, monkeypatch):
     found = chunking.similar_pairs(rows, 0.8, "label")
     assert "Join" not in found.select("cosine")._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[0]
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) and found.count() > 100
+
+
+def test_vocabulary_as_count_vectorizer(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    monkeypatch.setattr(trained, "HELD_TERMS", 20)
+    texts = ["Der Hund, der Hund bellt!", "the dog barks; the DOG runs", None, "", "der Hund und the dog", "\u00c9t\u00e9 1x 1x \u0130 stra\u00dfe", "der der", "dog 1x \u00e9t\u00e9"]
+    rows = spark.createDataFrame([(t, str(i % 2)) for i, t in enumerate(texts * 3)], "text string, label string").repartition(3)
+    for least, most in ((2, 0.95), (0.2, 0.5), (4, 8)):
+        found = trained.vocabulary(rows, min_df=least, max_df=most)
+        terms = trained.pipeline(["x"]).getStages()[:4]
+        given = rows
+        for stage in terms:
+            given = stage.transform(given)
+        model = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=least, maxDF=most, vocabSize=10_000).fit(given)
+        assert len(found) == len(set(found)) and set(found) == set(model.vocabulary)
+
+
+def test_embedding_as_hashed_one_by_one(monkeypatch):
+    import hashlib
+    import re
+
+    import numpy as np
+
+    from folium.functions import vectors as V
+
+    def one_by_one(text, dimension):
+        out = np.zeros(dimension, np.float32)
+        words = re.findall(r"\w+", text.lower())
+        for feature in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
+            h = int.from_bytes(hashlib.md5(feature.encode()).digest()[:8], "big")
+            out[h % dimension] += 1.0 if h >> 63 else -1.0
+        return out / max(float(np.linalg.norm(out)), 1e-9)
+
+    monkeypatch.setattr(V, "REMEMBERED", 3)
+    for text in ("a b a b c", "Été x_1 été", "", "?!", "one"):
+        for dimension in (5, 384):
+            assert np.array_equal(V.hash_embedding(text, dimension), one_by_one(text, dimension))
+
+
+def test_a_long_line_is_no_entry_of_contents(spark):
+    import time
+
+    from folium.functions import toc
+
+    began = time.process_time()
+    found = toc.find_toc("Contents\n\nIntro .... 1\n\n1.1 Ways\t2 \n\nEnd 9\n\n" + "a 1 " * 3000 + "b\n\n" + "a .. " * 2500 + "x7")
+    assert found == ("Contents", ["Intro .... 1", "1.1 Ways\t2 ", "End 9"]) and time.process_time() - began < 0.5
+
+
+def test_neighbours_by_distance_then_key(spark):
+    from folium.operators import retrieval
+
+    rows = [(n, [float(n % 4), float(n % 3)]) for n in range(60)] + [(100, [0.0, 0.0])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, [3.0, 0.0])], "query_id long, embedding array<float>")
+        found = {(r[0], r[3]): r[1] for r in retrieval.knn(index, asked, 9).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for q, v in ((1, (1, 1)), (2, (3, 0))):
+        near = sorted(rows, key=lambda r: ((r[1][0] - v[0]) ** 2 + (r[1][1] - v[1]) ** 2, r[0]))[:9]
+        assert [found[q, i + 1] for i in range(9)] == [r[0] for r in near]
