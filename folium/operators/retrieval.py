@@ -66,8 +66,8 @@ def _block_knn(index: DataFrame, block, k: int, metric: str, key: str, vector: s
         ids, q = sent.value
         q = q.astype(np.float64)
         lengths = np.linalg.norm(q, axis=1)
-        held_d = np.full((len(ids), 0), np.inf)
-        held_k: np.ndarray = np.empty((len(ids), 0), object)
+        held_q, held_d, held_k = np.empty(0, np.int64), np.empty(0), None
+        worst = np.full(len(ids), np.inf)  # of the k held for a query
         for batch in batches:
             if not len(batch):
                 continue
@@ -79,16 +79,24 @@ def _block_knn(index: DataFrame, block, k: int, metric: str, key: str, vector: s
             else:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = -products / (lengths[:, None] * size[None, :])
-                d[~np.isfinite(d)] = np.inf
-            names = np.broadcast_to(batch[key].to_numpy(), d.shape)
-            d, names = np.concatenate([held_d, np.round(d, 9)], 1), np.concatenate([held_k, names], 1)
-            order = np.argsort(names.astype(batch[key].dtype), axis=1, kind="stable")
-            d, names = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            held_d, held_k = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
-        if held_d.shape[1]:
-            keep = np.isfinite(held_d)
-            yield pd.DataFrame({query_key: np.repeat(np.array(ids), keep.sum(1)), key: held_k[keep].tolist(), "_d": held_d[keep]})
+            d = np.round(d, 9)
+            d[~np.isfinite(d)] = np.inf
+            # Only what is no farther than the k-th of the batch and of what is held is sorted.
+            bound = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1]) if d.shape[1] > k else worst
+            at_q, at_row = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+            names = batch[key].to_numpy()[at_row]
+            every_q, every_d = np.concatenate([held_q, at_q]), np.concatenate([held_d, d[at_q, at_row]])
+            every_k = names if held_k is None else np.concatenate([held_k, names])
+            order = np.argsort(every_k, kind="stable")
+            order = order[np.lexsort((every_d[order], every_q[order]))]
+            every_q = every_q[order]
+            place = np.arange(len(order)) - np.searchsorted(every_q, every_q)
+            order = order[place < k]
+            held_q, held_d, held_k = every_q[place < k], every_d[order], every_k[order]
+            last = place[place < k] == k - 1
+            worst[held_q[last]] = held_d[last]
+        if len(held_q):
+            yield pd.DataFrame({query_key: [ids[i] for i in held_q], key: held_k, "_d": held_d})
 
     return index.mapInPandas(run, schema)
 
