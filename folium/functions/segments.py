@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folium.functions import fixed
-from folium.functions.text import SPACE, any_of, col, display, strip
+from folium.functions.text import SPACE, any_of, col, display, let, strip
 
 SEGMENT = "struct<pos:int,type:string,text:string,level:int,section:string,title:string,length:int,is_toc:boolean>"
 
@@ -27,17 +27,18 @@ def paragraphs(text: Column | str, scanned: Column | None = None) -> Column:
     finer = F.split(body, r"\n(?=\s{2,}|[•\-*]|\d+\.)")
     some = F.when(((F.size(blocks) < 10) & (F.char_length(body) > 3000)) | looks, finer).otherwise(blocks)
     capitals = F.split(body, r"(?<=[.!?])\s+(?=[A-Z]{2,})")
-    some = F.when(looks & (F.size(capitals) > F.size(some) * 1.2), capitals).otherwise(some)
-    four = F.flatten(F.transform(some, lambda p: F.when(F.char_length(p) > 800, in_fours(p)).otherwise(F.array(p))))
-    long = F.exists(some, lambda p: F.char_length(p) > 800)
-    out = F.when((F.size(some) < 15) & long, four).otherwise(some)
+    some = let(some, lambda s: F.when(looks & (F.size(capitals) > F.size(s) * 1.2), capitals).otherwise(s))
+    four = lambda s: F.flatten(F.transform(s, lambda p: F.when(F.char_length(p) > 800, in_fours(p)).otherwise(F.array(p))))
+    long = lambda s: F.exists(s, lambda p: F.char_length(p) > 800)
+    out = let(some, lambda s: F.when((F.size(s) < 15) & long(s), four(s)).otherwise(s))
     return F.filter(F.transform(out, strip), lambda p: p != "")
 
 
 def in_fours(text: Column) -> Column:
     """Groups of four sentences."""
     parts = F.split(text, r"(?<=[.!?])\s+")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(parts) / 4).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(parts, i * 4 + 1, 4), " "))
+    last = lambda s: F.greatest(F.ceil(F.size(s) / 4).cast("int") - 1, F.lit(0))
+    return let(parts, lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda i: F.array_join(F.slice(s, i * 4 + 1, 4), " ")))
 
 
 def is_header(text: Column | str, patterns: list[str] | None = None) -> Column:

@@ -106,3 +106,15 @@ def test_neighbours_by_distance_then_key(spark):
     for q, v in ((1, (1, 1)), (2, (3, 0))):
         near = sorted(rows, key=lambda r: ((r[1][0] - v[0]) ** 2 + (r[1][1] - v[1]) ** 2, r[0]))[:9]
         assert [found[q, i + 1] for i in range(9)] == [r[0] for r in near]
+
+
+def test_sentences_of_a_long_paragraph_are_split_once(spark):
+    import time
+
+    from folium.functions import segments
+
+    text = " ".join(f"Say {i}." for i in range(30_000))
+    row = spark.createDataFrame([(text,)], "text string")
+    began = time.monotonic()
+    found = row.select(segments.paragraphs("text").alias("p")).first()["p"]
+    assert time.monotonic() - began < 20 and len(found) == 7500 and found[1] == "Say 4. Say 5. Say 6. Say 7."
