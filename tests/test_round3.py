@@ -118,3 +118,15 @@ def test_sentences_of_a_long_paragraph_are_split_once(spark):
     began = time.monotonic()
     found = row.select(segments.paragraphs("text").alias("p")).first()["p"]
     assert time.monotonic() - began < 20 and len(found) == 7500 and found[1] == "Say 4. Say 5. Say 6. Say 7."
+
+
+def test_metadata_searched_only_where_words_are(spark, monkeypatch):
+    from folium.functions import metadata
+
+    texts = ["COPYRIGHT © 2003 by Foo Press\nx", "printed in 1999", "reprinted 1988", "FIRST PUBLISHED: in 2001", "date 3.4.2005", "Date: May 3, 2007", "© 1999-2004", "Publisher: Bar\n", "Big BOOKS here",
+             "News Media", "2011\n", "May 5 2012", "nothing", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = lambda: rows.select("doc_id", metadata.publisher("text"), metadata.date("text", F.lit("2100-01-01").cast("date"))).orderBy("doc_id").collect()
+    gated = found()
+    monkeypatch.setattr(metadata, "NEEDED", {})
+    assert gated == found() and sum(r[1] is not None for r in gated) >= 4 and sum(r[2] is not None for r in gated) >= 7
